@@ -100,7 +100,10 @@ def frequent_items(columns: DataFrame, top: int = 20, counters: int = 4096) -> D
 
     Null items do not count; blank ones count like any other (clean before);
     an empty table gives no rows; ties at the border are all kept."""
-    rows = summarise(columns, counters)
+    return _possible(summarise(columns, counters), top)
+
+
+def _possible(rows: DataFrame, top: int) -> DataFrame:
     total = F.broadcast(rows.where("item is null").select("metric", F.col("error").alias("max_error")))  # one row for each metric
     named = rows.where("item is not null").join(total, "metric").select("metric", "item", F.col("kept").alias("approx_count"), "max_error")
     rank = F.sort_array(F.collect_list("approx_count"), asc=False)
@@ -118,10 +121,11 @@ def top_items(columns: DataFrame, top: int = 20, counters: int = 4096) -> DataFr
 
     metrics = columns.columns
     while True:
-        found = cut(frequent_items(columns, top, counters))
-        # an item without a counter occurs at most max_error times; it must lie below the border
-        state = found.groupBy("metric").agg(F.max("max_error").alias("error"), F.sort_array(F.collect_list("approx_count"), asc=False).alias("kept")).collect()
-        if all(s["error"] == 0 or (len(s["kept"]) >= top and s["kept"][top - 1] > s["error"]) for s in state):
+        rows = cut(summarise(columns, counters))
+        # an item without a counter occurs at most `error` times; it must lie below the border
+        state = rows.groupBy("metric").agg(F.max("error").alias("error"), F.slice(F.sort_array(F.collect_list(F.when(F.col("item").isNotNull(), F.col("kept"))), asc=False), top, 1).alias("last")).collect()
+        if all(s["error"] == 0 or (s["last"] and s["last"][0] > s["error"]) for s in state):
+            found = _possible(rows, top)
             break
         counters *= 8
         if counters > 1 << 20:

@@ -151,6 +151,11 @@ class OrdinalModel:
         self.weights, self.cuts = params[:m], self._cuts(params[m:])
         return self
 
+    def uncalibrated(self, n: int) -> OrdinalModel:
+        """The model of no grades at all: every document is of the middle level."""
+        self.mean, self.scale, self.weights, self.cuts = np.zeros(n), np.ones(n), np.zeros(n), np.log(np.array([0.25, 2 / 3, 1.5, 4.0]))
+        return self
+
     @staticmethod
     def _cuts(raw: np.ndarray) -> np.ndarray:
         return raw[0] + np.concatenate([[0], np.cumsum(np.exp(raw[1:]))])
@@ -179,8 +184,8 @@ def fit_reading_model(features: DataFrame, labels: DataFrame, max_graded: int =
     """The regression over the graded documents, at most ``max_graded`` rows."""
     rows = features.join(graded(labels), "doc_id").where("n_words > 0").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_graded).select(*FEATURES, "grade", "weight").toArrow()
     x = np.column_stack([rows.column(f).to_numpy() for f in FEATURES]) if rows.num_rows else np.zeros((0, len(FEATURES)))
-    if len(x) < 20:
-        raise ValueError(f"{len(x)} graded documents are too few to calibrate to")
+    if not len(x):
+        return OrdinalModel(penalty).uncalibrated(len(FEATURES))
     return OrdinalModel(penalty).fit(x, rows.column("grade").to_numpy().astype(np.int64), rows.column("weight").to_numpy())
 
 
@@ -191,7 +196,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_graded: int = 50
     predicted grades. ``basis`` says how far to trust it: ``english``;
     ``other`` (hardly any English function words: the grades were given to
     English texts); ``short`` (under 30 words); ``no words`` (null, empty or
-    without letters: level 1, there is nothing to read). Repeated rows come
+    without letters: level 1, there is nothing to read). Without any grades
+    every other document has level 3. Repeated rows come
     out as often as given; an empty table gives no rows."""
     if not documents.head(1):
         return documents.sparkSession.createDataFrame([], "doc_id bigint, n_words bigint, level double, grade int, basis string")
