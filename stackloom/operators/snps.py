@@ -74,7 +74,7 @@ def snp_masks(calls: DataFrame, pops: DataFrame, mincov: int | float = 0.0, minm
     )
     both = site.join(short, "snp_id").join(F.broadcast(total))  # one row
     low = F.col("nobs") < mincov if isinstance(mincov, int) else F.col("nobs") < mincov * F.col("samples")
-    share = F.col("total") / (2 * F.col("nobs"))
+    share = F.try_divide(F.col("total"), 2 * F.col("nobs"))
     rare = F.col("total") < maf if isinstance(maf, int) else F.least(share, 1 - share) < maf
     masks = both.select(
         "snp_id", "indel", "multi", low.alias("low_coverage"), (F.col("enough") < F.col("pops")).alias("low_population"), F.coalesce((F.col("lo") == F.col("common")) & (F.col("hi") == F.col("common")), F.lit(True)).alias("invariant"), F.coalesce(rare, F.lit(True)).alias("rare")
@@ -108,7 +108,7 @@ def allele_counts(calls: DataFrame, pops: DataFrame) -> DataFrame:
 
 def allele_frequency(calls: DataFrame, pops: DataFrame, names: Sequence[str]) -> DataFrame:
     """One row for each site, the derived frequency of each population in a column."""
-    counts = allele_counts(calls, pops).withColumn("f", F.round(F.col("der") / (F.col("anc") + F.col("der")), 6))
+    counts = allele_counts(calls, pops).withColumn("f", F.round(F.try_divide("der", F.col("anc") + F.col("der")), 6))
     return counts.groupBy("snp_id").pivot("pop", list(names)).agg(F.first("f"))
 
 
@@ -129,7 +129,7 @@ def random_loci(sites: DataFrame, n: int, seed: int = 42) -> DataFrame:
 def _population_frequencies(calls: DataFrame, pops: DataFrame, sites: DataFrame, names: Sequence[str]) -> DataFrame:
     """``snp_id, locus, f1..fn`` of the sites that every population covers, polarised by the last."""
     here = pops.where(F.col("pop").isin(list(names)))
-    counts = allele_counts(calls, here).withColumn("f", F.col("der") / (F.col("anc") + F.col("der")))
+    counts = allele_counts(calls, here).withColumn("f", F.try_divide("der", F.col("anc") + F.col("der")))
     wide = counts.groupBy("snp_id").pivot("pop", list(names)).agg(F.first("f")).dropna()
     flip = F.col(names[-1]) >= 0.5
     return wide.join(site_table(sites).select("snp_id", "locus"), "snp_id").select("snp_id", "locus", *[F.when(flip, 1 - F.col(p)).otherwise(F.col(p)).alias(f"f{k + 1}") for k, p in enumerate(names)])
@@ -145,7 +145,7 @@ def abba_baba(calls: DataFrame, pops: DataFrame, sites: DataFrame, names: Sequen
 
 def d_statistic(per_locus: DataFrame) -> DataFrame:
     """One row: ``dstat, n_snps, n_loci``."""
-    return per_locus.agg(F.sum("abba").alias("a"), F.sum("baba").alias("b"), F.sum("n_snps").alias("n_snps"), F.count(F.lit(1)).alias("n_loci")).select(F.round((F.col("a") - F.col("b")) / F.try_divide(F.col("a") + F.col("b"), F.lit(1.0)), 6).alias("dstat"), "n_snps", "n_loci")
+    return per_locus.agg(F.sum("abba").alias("a"), F.sum("baba").alias("b"), F.sum("n_snps").alias("n_snps"), F.count(F.lit(1)).alias("n_loci")).select(F.round(F.try_divide(F.col("a") - F.col("b"), F.col("a") + F.col("b")), 6).alias("dstat"), "n_snps", "n_loci")
 
 
 def bootstrap_d(per_locus: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
@@ -160,20 +160,20 @@ def bootstrap_d(per_locus: DataFrame, replicates: int = 100, seed: int = 42) ->
     weight = sum(((draw > p).cast("int") for p in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)), F.lit(0))
     w = per_locus.withColumn("replicate", replicate).withColumn("w", weight)
     sums = w.groupBy("replicate").agg(F.sum(F.col("w") * F.col("abba")).alias("a"), F.sum(F.col("w") * F.col("baba")).alias("b"))
-    return sums.select("replicate", ((F.col("a") - F.col("b")) / (F.col("a") + F.col("b"))).alias("dstat"))
+    return sums.select("replicate", F.try_divide(F.col("a") - F.col("b"), F.col("a") + F.col("b")).alias("dstat"))
 
 
 def d_test(per_locus: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
     """One row: ``dstat, bootstd, z, n_snps, n_loci``."""
     spread = bootstrap_d(per_locus, replicates, seed).agg(F.stddev_pop("dstat").alias("bootstd"))
-    return d_statistic(per_locus).join(spread).select("dstat", F.round("bootstd", 6).alias("bootstd"), F.round(F.abs("dstat") / F.col("bootstd"), 6).alias("z"), "n_snps", "n_loci")
+    return d_statistic(per_locus).join(spread).select("dstat", F.round("bootstd", 6).alias("bootstd"), F.round(F.try_divide(F.abs("dstat"), F.col("bootstd")), 6).alias("z"), "n_snps", "n_loci")
 
 
 def d_tests(calls: DataFrame, pops: DataFrame, sites: DataFrame, tests: Sequence[Sequence[str]]) -> DataFrame:
     """``test, p1, p2, p3, p4, dstat, n_snps``: many tests in one pass; the
     tests are an array column, so sites are read and pivoted once."""
     names = sorted({p for t in tests for p in t})
-    counts = allele_counts(calls, pops.where(F.col("pop").isin(names))).withColumn("f", F.col("der") / (F.col("anc") + F.col("der")))
+    counts = allele_counts(calls, pops.where(F.col("pop").isin(names))).withColumn("f", F.try_divide("der", F.col("anc") + F.col("der")))
     wide = counts.groupBy("snp_id").pivot("pop", names).agg(F.first("f"))
     rows = []
     for k, t in enumerate(tests):
@@ -183,7 +183,7 @@ def d_tests(calls: DataFrame, pops: DataFrame, sites: DataFrame, tests: Sequence
     long = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("f1 is not null")
     abba, baba = F.expr("(1 - f1) * f2 * f3 * (1 - f4)"), F.expr("f1 * (1 - f2) * f3 * (1 - f4)")
     sums = long.groupBy("test", "p1", "p2", "p3", "p4").agg(F.sum(abba).alias("a"), F.sum(baba).alias("b"), F.count(F.lit(1)).alias("n_snps"))
-    return sums.select("test", "p1", "p2", "p3", "p4", F.round((F.col("a") - F.col("b")) / (F.col("a") + F.col("b")), 6).alias("dstat"), "n_snps")
+    return sums.select("test", "p1", "p2", "p3", "p4", F.round(F.try_divide(F.col("a") - F.col("b"), F.col("a") + F.col("b")), 6).alias("dstat"), "n_snps")
 
 
 def partitioned_d(calls: DataFrame, pops: DataFrame, sites: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -196,7 +196,7 @@ def partitioned_d(calls: DataFrame, pops: DataFrame, sites: DataFrame, names: Se
         "babaa": x[1] * n[2] * x[3] * n[4] * n[5], "ababa": n[1] * x[2] * n[3] * x[4] * n[5], "baaba": x[1] * n[2] * n[3] * x[4] * n[5],
     }
     s = f.agg(*[F.sum(v).alias(k) for k, v in patterns.items()], F.count(F.lit(1)).alias("n_snps"))
-    ratio = lambda a, b: F.round((F.col(a) - F.col(b)) / (F.col(a) + F.col(b)), 6)
+    ratio = lambda a, b: F.round(F.try_divide(F.col(a) - F.col(b), F.col(a) + F.col(b)), 6)
     return s.select(ratio("abbba", "babba").alias("d12"), ratio("abbaa", "babaa").alias("d1"), ratio("ababa", "baaba").alias("d2"), "n_snps")
 
 
@@ -287,7 +287,7 @@ def kmeans(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
 def impute_sampled(calls: DataFrame, pops: DataFrame, seed: int = 42) -> DataFrame:
     """``snp_id, sample, g, imputed``: missing genotypes drawn as two alleles of their population's derived frequency at the
     site (0 where the population has none), by a seeded number."""
-    freq = allele_counts(calls, pops).select("snp_id", "pop", (F.col("der") / (F.col("anc") + F.col("der"))).alias("f"))
+    freq = allele_counts(calls, pops).select("snp_id", "pop", F.try_divide("der", F.col("anc") + F.col("der")).alias("f"))
     who = F.pmod(F.xxhash64("sample"), F.lit(1 << 20))
     draw = lambda k: portable_draw(F.col("snp_id") * 1048583 + who, seed + k) / 2147483647.0
     drawn = (draw(1) < F.col("f")).cast("int") + (draw(2) < F.col("f")).cast("int")

@@ -146,7 +146,7 @@ def w08_ld_blocks(spark, d):
     return S.ld_blocks(table(spark, d, "snp_sites"))
 
 
-@query(f"with {_FOUR} select round((sum(abba) - sum(baba)) / (sum(abba) + sum(baba)), 6) dstat, cast(sum(n_snps) as bigint) n_snps, count(*) n_loci from l")
+@query(f"with {_FOUR} select round((sum(abba) - sum(baba)) / nullif(sum(abba) + sum(baba), 0), 6) dstat, cast(sum(n_snps) as bigint) n_snps, count(*) n_loci from l")
 def m05_dstat(spark, d):
     return S.d_statistic(S.abba_baba(_calls(spark, d), _pops(spark, d), table(spark, d, "snp_sites"), _FOUR_POPS))
 
@@ -159,7 +159,7 @@ def m05_dstat_per_locus(spark, d):
 _BOOT = f"""with {_FOUR}, u as (select unnest(range(1, 101)) replicate),
   b as (select replicate, abba, baba, ({_DRAW.format("(locus * 1009 + replicate)", 42, 42 * 40503 + 11)} + 0.5::double) / 2147483647.0::double x from l, u),
   v as (select replicate, abba, baba, (x > 0.367879441)::int + (x > 0.735758882)::int + (x > 0.919698603)::int + (x > 0.981011843)::int + (x > 0.996340153)::int + (x > 0.999405815)::int k from b),
-  t as (select replicate, (sum(k * abba) - sum(k * baba)) / (sum(k * abba) + sum(k * baba)) dstat from v group by 1)"""
+  t as (select replicate, (sum(k * abba) - sum(k * baba)) / nullif(sum(k * abba) + sum(k * baba), 0) dstat from v group by 1)"""
 
 
 @query(f"{_BOOT} select replicate, round(dstat, 6) dstat from t")
@@ -175,7 +175,7 @@ def m06_d_test(spark, d):
 
 @query(f"""with {_FREQ}, f as (select if(p5 >= 0.5, 1 - p1, p1) a, if(p5 >= 0.5, 1 - p2, p2) b, if(p5 >= 0.5, 1 - p3, p3) c, if(p5 >= 0.5, 1 - p4, p4) e, if(p5 >= 0.5, 1 - p5, p5) o from w where p1 + p2 + p3 + p4 + p5 is not null),
   t as (select sum((1-a)*b*c*e*(1-o)) abbba, sum(a*(1-b)*c*e*(1-o)) babba, sum((1-a)*b*c*(1-e)*(1-o)) abbaa, sum(a*(1-b)*c*(1-e)*(1-o)) babaa, sum((1-a)*b*(1-c)*e*(1-o)) ababa, sum(a*(1-b)*(1-c)*e*(1-o)) baaba, count(*) n_snps from f)
-  select round((abbba - babba) / (abbba + babba), 6) d12, round((abbaa - babaa) / (abbaa + babaa), 6) d1, round((ababa - baaba) / (ababa + baaba), 6) d2, n_snps from t""")
+  select round((abbba - babba) / nullif(abbba + babba, 0), 6) d12, round((abbaa - babaa) / nullif(abbaa + babaa, 0), 6) d1, round((ababa - baaba) / nullif(ababa + baaba, 0), 6) d2, n_snps from t""")
 def m07_partitioned_d(spark, d):
     return S.partitioned_d(_calls(spark, d), _pops(spark, d), table(spark, d, "snp_sites"), [*_FOUR_POPS, "pop_e"])
 
@@ -188,7 +188,7 @@ def _test_sql(k, t):
     a, b, c, o = (at[x] for x in t)
     f = lambda x: f"if({o} >= 0.5, 1 - {x}, {x})"
     abba, baba = f"(1 - {f(a)}) * {f(b)} * {f(c)} * (1 - {f(o)})", f"{f(a)} * (1 - {f(b)}) * {f(c)} * (1 - {f(o)})"
-    return f"select {k} test, '{t[0]}' p1, '{t[1]}' p2, '{t[2]}' p3, '{t[3]}' p4, round((sum({abba}) - sum({baba})) / (sum({abba}) + sum({baba})), 6) dstat, count(*) n_snps from w where {a} + {b} + {c} + {o} is not null"
+    return f"select {k} test, '{t[0]}' p1, '{t[1]}' p2, '{t[2]}' p3, '{t[3]}' p4, round((sum({abba}) - sum({baba})) / nullif(sum({abba}) + sum({baba}), 0), 6) dstat, count(*) n_snps from w where {a} + {b} + {c} + {o} is not null"
 
 
 @query(f"with {_FREQ} " + " union all ".join(_test_sql(k, t) for k, t in enumerate(_TESTS)))
