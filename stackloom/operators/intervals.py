@@ -12,7 +12,8 @@ def merge_intervals(intervals: DataFrame, gap: int = 0, part: int = 1 << 20) ->
     A chromosome is swept in ranges of ``part`` positions: intervals are merged within
     ranges, then the few merged ones across, so a long chromosome with
     most intervals is not ordered in one task."""
-    first = _islands(intervals.select("chrom", "p0", "p1", F.lit(1).cast("bigint").alias("n"), F.floor(F.col("p0") / part).alias("part")), ["chrom", "part"], gap)
+    counted = intervals.groupBy("chrom", "p0", "p1").agg(F.count(F.lit(1)).alias("n"))  # equal intervals once, so that the order is total
+    first = _islands(counted.withColumn("part", F.floor(F.col("p0") / part)), ["chrom", "part"], gap)
     return _islands(first, ["chrom"], gap)
 
 

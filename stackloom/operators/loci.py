@@ -228,7 +228,7 @@ def divergence(alleles: DataFrame) -> DataFrame:
     adjusted = 1 - F.col("w") / (F.col("w") / d + (d - 1) * F.col("b") / d)
     nm = (d - 1) / d * 0.5 * F.col("w") / (F.col("b") - F.col("w"))
     held = F.col("b") > 0
-    return sums.select("pop_a", "pop_b", "n_sites", F.round("b", 6).alias("dxy"), F.round("w", 6).alias("within"), F.when(held, F.round(1 - F.col("w") / F.col("b"), 6)).alias("fst"), F.when(held, F.round(adjusted, 6)).alias("fst_adjusted"), F.when(F.col("b") != F.col("w"), F.round(nm, 4)).alias("nm"))
+    return sums.select("pop_a", "pop_b", "n_sites", F.round("b", 6).alias("dxy"), F.round("w", 6).alias("within"), F.when(held, F.round(1 - F.col("w") / F.col("b"), 6)).alias("fst"), F.when(held, F.round(adjusted, 6)).alias("fst_adjusted"), F.when(F.col("b") != F.col("w"), F.round(nm, 6)).alias("nm"))
 
 
 def diversity_summary(per_locus: DataFrame) -> DataFrame:

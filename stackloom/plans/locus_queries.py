@@ -199,7 +199,7 @@ def m16_diversity_summary(spark, d):
 @query(f"""with {_ALLELES}, v as (select * from an where n > 1), q as (select x.pop pop_a, y.pop pop_b, 1 - (x.a * y.a + x.c * y.c + x.g * y.g + x.t * y.t) / (x.n * y.n * 1.0::double) bt,
     ((x.n * x.n - x.a * x.a - x.c * x.c - x.g * x.g - x.t * x.t) / (x.n * (x.n - 1.0::double)) + (y.n * y.n - y.a * y.a - y.c * y.c - y.g * y.g - y.t * y.t) / (y.n * (y.n - 1.0::double))) / 2 wi
     from v x join v y on x.locus = y.locus and x.pos = y.pos and x.pop < y.pop), z as (select pop_a, pop_b, count(*) n_sites, avg(bt) b, avg(wi) w from q group by 1, 2)
-  select pop_a, pop_b, n_sites, round(b, 6) dxy, round(w, 6) "within", if(b > 0, round(1 - w / b, 6), null) fst, if(b > 0, round(1 - w / (w / 2 + b / 2), 6), null) fst_adjusted, if(b <> w, round(0.25 * w / (b - w), 4), null) nm from z""")
+  select pop_a, pop_b, n_sites, round(b, 6) dxy, round(w, 6) "within", if(b > 0, round(1 - w / b, 6), null) fst, if(b > 0, round(1 - w / (w / 2 + b / 2), 6), null) fst_adjusted, if(b <> w, round(0.25 * w / (b - w), 6), null) nm from z""")
 def m14_m15_divergence(spark, d):
     return L.divergence(L.allele_table(_cells(spark, d), _pops(spark, d)))
 

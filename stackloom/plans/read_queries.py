@@ -280,7 +280,7 @@ def _loci_spans(spark, d):
 
 _IV = "iv as (select l_suppkey % 5 chrom, l_partkey * 37 + l_linenumber * 11 + l_orderkey % 13 p0, l_partkey * 37 + l_linenumber * 11 + l_orderkey % 13 + 20 + cast(l_quantity as bigint) % 30 p1 from lineitem)"
 _PT = "pt as (select distinct snp_id, scaf chrom, scafpos pos, locus from snp_sites where scaf is not null), sp as (select locus, chrom, min(pos) p0, max(pos) + 1 p1 from pt group by 1, 2)"
-_MERGED = f"{_IV}, a as (select *, max(p1) over (partition by chrom order by p0, p1 rows between unbounded preceding and 1 preceding) reach from iv), b as (select *, sum((reach is null or p0 > reach)::int) over (partition by chrom order by p0, p1 rows unbounded preceding) island from a), mg as (select chrom, min(p0) p0, max(p1) p1, count(*) n from b group by chrom, island)"
+_MERGED = f"{_IV}, u as (select chrom, p0, p1, count(*) n from iv group by all), a as (select *, max(p1) over (partition by chrom order by p0, p1 rows between unbounded preceding and 1 preceding) reach from u), b as (select *, sum((reach is null or p0 > reach)::int) over (partition by chrom order by p0, p1 rows unbounded preceding) island from a), mg as (select chrom, min(p0) p0, max(p1) p1, cast(sum(n) as bigint) n from b group by chrom, island)"
 
 
 @query(f"with {_MERGED} select * from mg")
