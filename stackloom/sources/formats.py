@@ -17,46 +17,69 @@ _ENDINGS = (".fastq.gz", ".fq.gz", ".fastq", ".fq", ".gz")
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, rec, name, seq, qual`` from FASTQ files, plain or gzipped.
+    """``file, name, seq, qual`` from FASTQ files, plain or gzipped.
 
-    A record starts at a line with ``@`` whose third line starts with ``+``; the
-    text is cut there, so plain files are split and read in parallel without
-    counting lines. Records keep their order number within the file's split in ``rec``."""
+    The text is cut at line ends before ``@``, so plain files are split and
+    read in parallel without counting lines. Where a quality line starts with
+    ``@`` a record falls into two pieces; they are joined again, also across
+    the border of two splits (those few pieces are gathered by file)."""
     names = [paths] if isinstance(paths, str) else paths
-    lines = spark.read.option("lineSep", "\n@").text(names).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    # a quality line may itself start with @; such a piece has no line of its own that starts with +, and belongs to the piece before
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list | None = None
-        number = 0
-
-        def flush(piece: list) -> tuple | None:
-            parts = piece[1].rstrip("\r\n").replace("\r\n", "\n").split("\n")
-            return (piece[0], parts[0].lstrip("@"), parts[1], parts[3]) if len(parts) >= 4 else None
-
-        for batch in batches:
-            out = []
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if pending is not None and (pending[0] != file or _complete(pending[1])):
-                    out.append(flush(pending))
-                    pending = None
-                pending = [file, text] if pending is None else [file, f"{pending[1]}\n@{text}"]
-            rows = [r for r in out if r]
-            yield _fastq_batch(rows, number)
-            number += len(rows)
-        if pending is not None and (row := flush(pending)):
-            yield _fastq_batch([row], number)
-
-    return lines.select("file", "value").mapInArrow(run, "file string, rec bigint, name string, seq string, qual string")
-
-
-def _complete(text: str) -> bool:
+    pieces = spark.read.option("lineSep", "\n@").text(names).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    parsed = pieces.mapInArrow(_join_pieces, "file string, block bigint, head boolean, piece string, name string, seq string, qual string")
+    whole = parsed.where("piece is null").select("file", "name", "seq", "qual")
+
+    def stitch(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("block").to_pylist(), group.column("head").to_pylist(), group.column("piece").to_pylist()), key=lambda r: (r[0], not r[1]))
+        out, last = [], None
+        for _, head, piece in rows:
+            last = f"{last}\n@{piece}" if head and last is not None else piece
+            if (record := _record(last)) is not None:
+                out.append(record)
+                last = None
+        return _fastq_table([(group.column("file")[0].as_py(), *r) for r in out])
+
+    # at most two pieces for each split of a file
+    borders = parsed.where("piece is not null").groupBy("file").applyInArrow(stitch, "file string, name string, seq string, qual string")
+    return whole.unionByName(borders)
+
+
+def _record(text: str) -> tuple[str, str, str] | None:
+    """Name, sequence and quality of a whole record; null while its quality is shorter than its sequence."""
     parts = text.rstrip("\r\n").replace("\r\n", "\n").split("\n")
-    return len(parts) >= 4 and len(parts[3]) >= len(parts[1])
-
-
-def _fastq_batch(rows: list[tuple], first: int) -> pa.RecordBatch:
-    files, names, seqs, quals = zip(*rows) if rows else ((), (), (), ())
-    return pa.record_batch([pa.array(files, pa.string()), pa.array(range(first, first + len(rows)), pa.int64()), pa.array(names, pa.string()), pa.array(seqs, pa.string()), pa.array(quals, pa.string())], names=["file", "rec", "name", "seq", "qual"])
+    return (parts[0].removeprefix("@"), parts[1], parts[3]) if len(parts) == 4 and len(parts[3]) >= len(parts[1]) else None
+
+
+def _fastq_table(rows: list[tuple]) -> pa.Table:
+    return pa.table({n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(("file", "name", "seq", "qual"))})
+
+
+def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records, and the pieces at the ends of a split that make no record alone."""
+    at, last, fresh = None, None, True
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string())
+        return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["file", "block", "head", "piece", "name", "seq", "qual"])
+
+    for batch in batches:
+        out: list[tuple] = []
+        for file, block, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if (file, block) != at:
+                if last is not None:
+                    out.append((*at, False, last, None, None, None))
+                at, last, fresh = (file, block), None, True
+            # a record has its sequence and a third line; a lone rest of a quality line at the start belongs to the split before
+            if fresh and last is None and "\n" not in text.rstrip("\r\n") and _record(text) is None:
+                out.append((*at, True, text, None, None, None))
+                continue
+            fresh = False
+            last = text if last is None else f"{last}\n@{text}"
+            if (record := _record(last)) is not None:
+                out.append((*at, False, None, *record))
+                last = None
+        yield emit(out)
+    if last is not None:
+        yield emit([(*at, False, last, None, None, None)])
 
 
 def sample_names(paths: list[str], paired: bool = False) -> dict[str, tuple[str, ...]]:

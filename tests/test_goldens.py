@@ -183,6 +183,12 @@ def test_text_formats_roundtrip(spark, tmp_path):
     fq.write_text("".join(f"@r{k}\nACGT\n+\n@I+I\n" for k in range(50)))
     back = formats.read_fastq(spark, str(fq))
     assert back.count() == 50 and back.select("seq", "qual").distinct().collect()[0][:] == ("ACGT", "@I+I")
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "37")  # borders fall everywhere in records
+    fq.write_text("".join(f"@r{k}\nACGTAC\n+\n{'@@@I@@' if k % 2 else '@II@II'}\n" for k in range(40)))
+    split = formats.read_fastq(spark, str(fq))
+    assert sorted((r["name"], r["qual"]) for r in split.collect()) == sorted((f"r{k}", "@@@I@@" if k % 2 else "@II@II") for k in range(40))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", small)
     (tmp_path / "g.fa").write_text(">one x\nACG\nTT\n>two\nGG\n")
     assert [tuple(r) for r in formats.read_fasta(spark, str(tmp_path / "g.fa")).orderBy("name").collect()] == [("one", "ACGTT", 5), ("two", "GG", 2)]
     (tmp_path / "pops").write_text("a p1\nb p2\n# p1:1 p2:3\n")

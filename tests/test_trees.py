@@ -31,7 +31,8 @@ def test_clade_support(spark):
 def test_reads_map_to_both_strands(spark):
     import random
 
-    ref = "".join(random.Random(1).choice("ACGT") for _ in range(400))
+    rng = random.Random(1)
+    ref = "".join(rng.choice("ACGT") for _ in range(400))
     flip = ref[200:260].translate(str.maketrans("ACGT", "TGCA"))[::-1]
     reads = spark.createDataFrame([(1, ref[100:160]), (2, flip), (3, "A" * 60), (4, ref[300:330] + "T" + ref[331:360])], "read_id bigint, seq string")
     out = {r["read_id"]: (r["pos"], r["strand"]) for r in cluster_join.map_reads(reads, spark.createDataFrame([("c", ref)], "chrom string, seq string")).collect()}
