@@ -18,32 +18,35 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.editdist import EncodedStrings, pair_distances
 from stackloom.functions.sequence import reverse_complement
-from stackloom.plans.durable import cut
+from stackloom.plans.durable import cut, python_tasks
 
 
-def _kmers(rows: DataFrame, k: int) -> DataFrame:
+def _kmers(rows: DataFrame, k: int, before: int | None = None) -> DataFrame:
+    """``scope, rec_id, kmer`` with each different k-mer of a record as a hash (equal hashes of unlike k-mers only make a candidate more), and the hash of its first ``before`` letters."""
     every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq") - k + 1, F.lit(1))), lambda i: F.substring(F.col("seq"), i, F.lit(k)))
-    return rows.select("scope", "rec_id", F.explode(F.array_distinct(every)).alias("kmer"))
+    rows = rows.select("scope", "rec_id", F.explode(F.array_distinct(every)).alias("text"))
+    kept = [F.xxhash64("text").alias("kmer")] + ([F.xxhash64(F.substring("text", 1, before)).alias("short")] if before else [])
+    return rows.select("scope", "rec_id", *kept)
 
 
 def candidate_pairs(records: DataFrame, k: int = 16, most: int = 200) -> DataFrame:
     """``scope, a, b`` (a < b) of records that share a k-mer. Groups of more than ``most`` records are
     split by the k-mer's 8 following letters, again and again, until they are small or the records are alike."""
-    seqs = records.select("scope", "rec_id", "seq")
+    seqs = cut(records.select("scope", "rec_id", "seq"))
     pairs, size = None, k
     rows = _kmers(seqs, k)
     for _ in range(4):
-        groups = rows.groupBy("scope", "kmer").agg(F.count(F.lit(1)).alias("n"))
-        small = rows.join(groups.where((F.col("n") > 1) & (F.col("n") <= most)), ["scope", "kmer"])
+        sizes = cut(rows.groupBy("scope", "kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        small = rows.join(sizes.where(F.col("n") <= most), ["scope", "kmer"])
         gathered = small.groupBy("scope", "kmer").agg(F.array_sort(F.collect_list("rec_id")).alias("ids"))  # at most `most` ids
-        found = gathered.select("scope", F.explode(F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("scope", "p.a", "p.b")
+        # the same records share many k-mers: equal groups are paired once
+        found = gathered.select("scope", "ids").distinct().select("scope", F.explode(F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("scope", "p.a", "p.b").distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
-        large = groups.where(F.col("n") > most).select("scope", "kmer")
+        large = sizes.where(F.col("n") > most).select("scope", F.col("kmer").alias("short"))
         if not large.limit(1).count():
             break
+        rows = _kmers(seqs, size + 8, size).join(large, ["scope", "short"], "left_semi").drop("short")
         size += 8
-        wider = _kmers(seqs, size).withColumn("short", F.substring("kmer", 1, size - 8))
-        rows = wider.join(large.withColumnRenamed("kmer", "short"), ["scope", "short"], "left_semi").drop("short")
     return pairs.distinct()
 
 
@@ -51,7 +54,8 @@ def verify_pairs(pairs: DataFrame, records: DataFrame, min_identity: float = 0.8
     """``scope, a, b, identity`` of the candidate pairs whose identity (1 - edits / longer length) is at least ``min_identity``."""
     left = records.select("scope", F.col("rec_id").alias("a"), F.col("seq").alias("x"))
     right = records.select("scope", F.col("rec_id").alias("b"), F.col("seq").alias("y"))
-    joined = pairs.join(left, ["scope", "a"]).join(right, ["scope", "b"]).select("scope", "a", "b", "x", "y")
+    spread = pairs.repartition(python_tasks(pairs.sparkSession), "scope", "a")
+    joined = spread.join(left, ["scope", "a"]).join(right, ["scope", "b"]).select("scope", "a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions.sequence import code_of_pair, count_letter, internal_gaps, trim_terminal
+from stackloom.plans.durable import python_tasks
 
 _MAX_DEPTH = 500
 
@@ -227,21 +228,28 @@ def _simplex(f, start: np.ndarray, steps: int = 50) -> tuple[np.ndarray, float]:
     return points[k], values[k]
 
 
-def negative_log_likelihood(het: float, error: float, counts: np.ndarray, weight: np.ndarray, base_share: np.ndarray) -> float:
-    """Of unordered count patterns, as a mixture of homozygous and heterozygous sites."""
-    if not 0 <= het < 1 or not 0 < error < 1:
-        return math.inf
-    total = counts.sum(axis=1)
-    log_factorial = np.array([math.lgamma(n + 1) for n in range(int(total.max(initial=0)) + 1)])
-    multinomial = log_factorial[total] - log_factorial[counts].sum(axis=1)
-    like1, like2 = np.zeros(len(counts)), np.zeros(len(counts))
-    for i in range(4):
-        like1 += base_share[i] * np.exp(multinomial + counts[:, i] * math.log(1 - error) + (total - counts[:, i]) * math.log(error / 3))
-        for j in range(i + 1, 4):
-            pair = counts[:, i] + counts[:, j]
-            norm = 2 * base_share[i] * base_share[j] / max(1e-12, 1 - (base_share**2).sum())
-            like2 += norm * np.exp(multinomial + pair * math.log(0.5 * (1 - 2 * error / 3)) + (total - pair) * math.log(error / 3))
-    return -float((weight * np.log(np.maximum((1 - het) * like1 + het * like2, 1e-300))).sum())
+class Patterns:
+    """Count patterns with what their likelihoods need whatever the parameters."""
+
+    def __init__(self, counts: np.ndarray, weight: np.ndarray, base_share: np.ndarray):
+        self.counts, self.weight, self.share = counts, weight, base_share
+        self.total = counts.sum(axis=1)
+        log_factorial = np.array([math.lgamma(n + 1) for n in range(int(self.total.max(initial=0)) + 1)])
+        self.multinomial = log_factorial[self.total] - log_factorial[counts].sum(axis=1)
+
+    def negative_log_likelihood(self, het: float, error: float) -> float:
+        """Of unordered count patterns, as a mixture of homozygous and heterozygous sites."""
+        if not 0 <= het < 1 or not 0 < error < 1:
+            return math.inf
+        counts, total, share = self.counts, self.total, self.share
+        like1, like2 = np.zeros(len(counts)), np.zeros(len(counts))
+        norm = 2 / max(1e-12, 1 - float((share**2).sum()))
+        for i in range(4):
+            like1 += share[i] * np.exp(self.multinomial + counts[:, i] * math.log(1 - error) + (total - counts[:, i]) * math.log(error / 3))
+            for j in range(i + 1, 4):
+                pair = counts[:, i] + counts[:, j]
+                like2 += norm * share[i] * share[j] * np.exp(self.multinomial + pair * math.log(0.5 * (1 - 2 * error / 3)) + (total - pair) * math.log(error / 3))
+        return -float((self.weight * np.log(np.maximum((1 - het) * like1 + het * like2, 1e-300))).sum())
 
 
 def estimate_het_error(columns_by_sample: DataFrame, min_depth: int = 6, max_patterns: int = 100_000) -> DataFrame:
@@ -259,11 +267,12 @@ def estimate_het_error(columns_by_sample: DataFrame, min_depth: int = 6, max_pat
         weight = group.column("n").to_numpy().astype(float)
         bases = (counts * weight[:, None]).sum(axis=0)
         share = bases / max(1.0, bases.sum())
-        best, value = _simplex(lambda p: negative_log_likelihood(p[0], p[1], counts, weight, share), np.array([0.01, 0.001]))
+        own = Patterns(counts, weight, share)
+        best, value = _simplex(lambda p: own.negative_log_likelihood(p[0], p[1]), np.array([0.01, 0.001]))
         het, error = best if math.isfinite(value) else (0.01, 0.001)
         return pa.table({"sample": pa.array([group.column("sample")[0].as_py()], pa.string()), "hetero_est": pa.array([float(het)]), "error_est": pa.array([float(error)]), "n_columns": pa.array([int(weight.sum())])})
 
-    return patterns.groupBy("sample").applyInArrow(fit, "sample string, hetero_est double, error_est double, n_columns bigint")
+    return patterns.repartition(python_tasks(patterns.sparkSession), "sample").groupBy("sample").applyInArrow(fit, "sample string, hetero_est double, error_est double, n_columns bigint")
 
 
 # ------------------------------------------------------------ alignment
@@ -272,6 +281,8 @@ def estimate_het_error(columns_by_sample: DataFrame, min_depth: int = 6, max_pat
 def _align(seed: str, other: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[str, str]:
     """Global alignment of two sequences; rows of the table are computed at once."""
     n, m = len(seed), len(other)
+    if n == m and sum(x != y for x, y in zip(seed, other)) * (match - mismatch) <= match - 2 * gap:
+        return seed, other  # two gaps cost as much as these few mismatches
     s, o = np.frombuffer(seed.encode("latin-1", "replace"), np.uint8), np.frombuffer(other.encode("latin-1", "replace"), np.uint8)
     score = np.zeros((n + 1, m + 1), dtype=np.int64)
     score[0] = np.arange(m + 1) * gap
@@ -303,7 +314,8 @@ def centre_star(seqs: list[str]) -> list[str]:
     """Rows of a multiple alignment to the first sequence; without their gaps they are the inputs."""
     if not seqs:
         return []
-    seed, pairs = seqs[0], [_align(seqs[0], s) for s in seqs[1:]]
+    known = {s: _align(seqs[0], s) for s in dict.fromkeys(seqs[1:])}
+    seed, pairs = seqs[0], [known[s] for s in seqs[1:]]
     # the most letters any row puts before each letter of the seed
     room = [0] * (len(seed) + 1)
     for a, _ in pairs:
@@ -334,7 +346,7 @@ def align_stacks(stacks: DataFrame, most: int = 200) -> DataFrame:
     A cluster keeps its first ``most`` reads by rank, as the aligner's own
     limit; the rank is cut before the reads are gathered, so a deep cluster is bounded."""
     plain = stacks.where(F.col("hit_rank") < most).select("cluster_id", "hit_rank", F.regexp_replace("aligned_seq", "-", "").alias("seq")).where("length(seq) > 0")
-    whole = plain.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("hit_rank", "seq"))).alias("rows"))
+    whole = plain.repartition(python_tasks(stacks.sparkSession), "cluster_id").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("hit_rank", "seq"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,3 +26,8 @@ def cut(df: DataFrame) -> DataFrame:
     lost executor costs no recomputation of what came before."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def python_tasks(spark: SparkSession) -> int:
+    """Partitions for work that takes far more time than its bytes suggest, so that they are not merged by size."""
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
