@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stackloom.functions.sequence import make_cigar
 from stackloom.operators import loci as L
+from stackloom.operators.reads import digest
+from stackloom.operators.rejects import parse_fastq_records
+from stackloom.operators.reports import combine_posteriors, divergence_times
 from stackloom.operators.snps import allele_counts, clean_calls, populations, site_table, unlinked
 from stackloom.plans.locus_queries import _CELLS, _cells
 from stackloom.plans.snp_queries import _BASE, _DRAW
@@ -138,6 +143,57 @@ def k21_map_rows(spark, d):
     return W.map_rows(populations(table(spark, d, "imap")))
 
 
+@query(r"""select distinct fastq sample, '@' || regexp_extract(raw, '^@([^\n]*?)\r?\n', 1) || chr(10) || regexp_extract(raw, '^[^\n]*\n([ACGTNacgtn]+)\r?\n', 1) || chr(10) || '+' || chr(10) || regexp_extract(raw, '\n\+[^\n]*\n([!-J]+)(\r?\n)?$', 1) line
+  from fastqs_raw where regexp_full_match(raw, '@[^\n]*[^\r\n][^\n]*\n[ACGTNacgtn]+\r?\n\+[^\n]*\n[!-J]+(\r?\n)?')
+  and length(regexp_extract(raw, '^[^\n]*\n([ACGTNacgtn]+)\r?\n', 1)) = length(regexp_extract(raw, '\n\+[^\n]*\n([!-J]+)(\r?\n)?$', 1))""")
+def k01_fastq_rows(spark, d):
+    good = parse_fastq_records(table(spark, d, "fastqs_raw")).where("ok")
+    return W.fastq_rows(good.select(F.col("fastq").alias("sample"), "name", "seq", "qual")).distinct()
+
+
+@query("select distinct label name, '>' || label || chr(10) || seqs line from clust_database where label is not null and seqs is not null")
+def k17_fasta_rows(spark, d):
+    return W.fasta_rows(table(spark, d, "clust_database").select(F.col("label").alias("name"), F.col("seqs").alias("seq")).distinct())
+
+
+@query("""with b as (select distinct seq_id, sample, label, seqs from clust_database), c as (select *, list_reduce(list_transform(regexp_extract_all(seqs, '-+|[^-]+'), lambda x: length(x) || if(x[1] = '-', 'D', 'M')), lambda a, b: a || b) cigar from b)
+  select sample chrom, seq_id * 100 pos, concat_ws(chr(9), label, '0', sample, seq_id * 100 + 1, '30', cigar, '*', '0', '0', replace(seqs, '-', ''), '*') line from c""")
+def k16_sam_rows(spark, d):
+    base = table(spark, d, "clust_database").distinct().select(F.col("label").alias("name"), F.col("sample").alias("chrom"), (F.col("seq_id") * 100).alias("pos"), make_cigar(F.col("seqs")).alias("cigar"), F.col("seqs").alias("seq"))
+    return W.sam_rows(base)
+
+
+@query("""with b as (select distinct seq_id, seqs seq from clust_database), s as (select seq_id rec_id, string_split(seq, 'GAC') p from b), f as (select rec_id, unnest(range(0, len(p) - 2)) fragment, unnest(p[2:len(p) - 1]) seq from s where len(p) > 2)
+  select rec_id, '@' || rec_id || '_' || fragment || '_' || c || chr(10) || seq || chr(10) || '+' || chr(10) || repeat('I', length(seq)) line from f, (select unnest(range(0, 3)) c) where length(seq) > 10""")
+def k22_digested_fastq(spark, d):
+    base = table(spark, d, "clust_database").select(F.col("seq_id").alias("rec_id"), F.col("seqs").alias("seq")).distinct()
+    return W.digested_rows(digest(base, "GAC", None, 10), 3)
+
+
+@query("select event_type parameter, round(avg(value), 6) mean, round(stddev_samp(value), 6) sd, count(*) n from events group by 1")
+def a27_combine_posteriors(spark, d):
+    draws = table(spark, d, "events").select(F.col("event_type").alias("parameter"), "value")
+    return combine_posteriors(draws).select("parameter", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n")
+
+
+@query("with p as (select if(event_id % 2 = 0, 'tau_1', 'theta_1') parameter, event_id, value from events) select event_id, parameter, round(if(parameter = 'tau_1', value * 2 / 0.5, value / (4 * 0.5)), 6) \"value\" from p")
+def x21_posterior_transform(spark, d):
+    draws = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "tau_1").otherwise("theta_1").alias("parameter"), "value")
+    return divergence_times(draws, 2.0, 0.5).select("event_id", "parameter", F.round("value", 6).alias("value"))
+
+
+@query("select l_returnflag, l_linestatus, count(*) n, round(sum(l_quantity), 2) qty from lineitem group by cube (l_returnflag, l_linestatus)")
+def a31_cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("with e as (select distinct edit_id, sample, mean_q from edits where sample is not null) select edit_id, rank() over w r, dense_rank() over w dr, lag(mean_q) over (partition by sample order by mean_q, edit_id) before from e window w as (partition by sample order by mean_q)")
+def w10_ranks(spark, d):
+    e = table(spark, d, "edits").where("sample is not null").select("edit_id", "sample", "mean_q").distinct()
+    own = Window.partitionBy("sample")
+    return e.select("edit_id", F.rank().over(own.orderBy(F.col("mean_q").asc_nulls_last())).alias("r"), F.dense_rank().over(own.orderBy(F.col("mean_q").asc_nulls_last())).alias("dr"), F.lag("mean_q").over(own.orderBy(F.col("mean_q").asc_nulls_last(), "edit_id")).alias("before"))
+
+
 # ------------------------------------------------------------ streaming
 
 

@@ -168,7 +168,8 @@ def m06_bootstrap_d(spark, d):
     return S.bootstrap_d(per).select("replicate", F.round("dstat", 6).alias("dstat"))
 
 
-@query()
+@query(f"""{_BOOT}, bs as (select stddev_pop(dstat) sd from t), o as (select round((sum(abba) - sum(baba)) / nullif(sum(abba) + sum(baba), 0), 6) dstat, cast(sum(n_snps) as bigint) n_snps, count(*) n_loci from l)
+  select dstat, round(sd, 6) bootstd, round(abs(dstat) / nullif(sd, 0), 6) z, n_snps, n_loci from o, bs""")
 def m06_d_test(spark, d):
     return S.d_test(S.abba_baba(_calls(spark, d), _pops(spark, d), table(spark, d, "snp_sites"), _FOUR_POPS))
 

@@ -29,8 +29,8 @@ def write_text(rows: DataFrame, path: str, order: Sequence[str] = (), partition:
 
 
 def fastq_rows(reads: DataFrame) -> DataFrame:
-    """``sample, line``: the four lines of each read."""
-    return reads.select("sample", F.format_string("@%s\n%s\n+\n%s", "name", "seq", "qual").alias("line"))
+    """``sample, line``: the four lines of each read; a read without a sequence is none."""
+    return reads.where("seq is not null and qual is not null").select("sample", F.format_string("@%s\n%s\n+\n%s", "name", "seq", "qual").alias("line"))
 
 
 def loci_rows(rows: DataFrame, marks: DataFrame) -> DataFrame:
@@ -137,8 +137,8 @@ def migrate_rows(rows: DataFrame, pops: DataFrame) -> DataFrame:
 
 
 def fasta_rows(records: DataFrame) -> DataFrame:
-    """``name, line``: FASTA records."""
-    return records.select("name", F.format_string(">%s\n%s", "name", "seq").alias("line"))
+    """``name, line``: FASTA records; a record without a name or sequence is none."""
+    return records.where("name is not null and seq is not null").select("name", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("line"))
 
 
 def sam_rows(records: DataFrame) -> DataFrame:

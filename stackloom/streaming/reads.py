@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.operators.reads import barcode_neighbours
+from stackloom.plans.durable import ensure_checkpoint_dir
 
 
 def event_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -40,9 +43,10 @@ def dereplicated_stream(reads: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All results of a stream over data that is there, as a table in memory."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """All results of a stream over data that is there, as a table in memory. Progress is kept in the session's shared checkpoint folder unless another is given."""
+    ensure_checkpoint_dir(stream.sparkSession)
+    folder = checkpoint or f"{stream.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", folder).start()
     try:
         query.awaitTermination()
     finally:
