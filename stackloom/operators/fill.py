@@ -130,27 +130,39 @@ def fill_genotypes(genos: DataFrame, sites: DataFrame, imap: DataFrame) -> DataF
     best = F.max(F.struct(present.alias("present"), "call", "a0", "a1", "base", "depth")).alias("r")
     clean = clean.groupBy("snp_id", "sample").agg(best).select("snp_id", "sample", "r.call", "r.a0", "r.a1", "r.base", "r.depth")
     people = fill_population_map(imap).groupBy("sample").agg(F.min("pop").alias("pop"))
-    place = sites.groupBy("snp_id").agg(F.min("locus").alias("locus"), F.max(F.size("alleles")).alias("n_alleles"))
-    clean = cut(clean.join(people, "sample", "left").join(place, "snp_id", "left"))  # read once for each dictionary below
-    call_sources: list = []
-    base_sources: list = []
-    rows = clean
+    place = sites.groupBy("snp_id").agg(F.min("locus").alias("locus"))
+    # statistics of sites are combined before their shuffles and joined by site alone, so the genotypes themselves are laid out by site once
+    clean = cut(clean.join(people, "sample", "left").join(place, "snp_id", "left"))
+    rows, call_sources, base_sources = clean, [], []
+
+    def by_site(table: DataFrame, key: str, value: str, name: str) -> None:
+        """Join a table of (snp_id, key, value) as one map for each site; its keys are the populations or the base codes."""
+        nonlocal rows
+        entry = F.collect_list(F.struct(F.col(key), F.col(value)))
+        rows = rows.join(table.where(F.col(key).isNotNull()).groupBy("snp_id").agg(F.map_from_entries(entry).alias(name)), "snp_id", "left")
+
     for k, (determinant, dependent, _, dictionary) in enumerate(mine_dependencies(clean, [(["snp_id", "base"], "call"), (["snp_id", "call"], "base"), (["base"], "call"), (["call"], "base")])):
-        rows = rows.join(dictionary.withColumnRenamed("value", f"fd{k}"), list(determinant), "left")
-        (call_sources if dependent == "call" else base_sources).append((F.col(f"fd{k}"), f"dependency {'+'.join(determinant)} -> {'genotype' if dependent == 'call' else 'base'}".replace("+call", "+genotype")))
-    for keys, name in ((["snp_id", "pop"], "site and population"), (["snp_id"], "site"), (["locus"], "locus")):
-        tag = "_".join(keys)
-        for value, sources in (("call", call_sources), ("base", base_sources)):
-            if value == "call" or name != "locus":
-                rows = rows.join(group_mode(clean, keys, value, f"{tag}_{value}"), keys, "left")
-                sources.append((F.col(f"{tag}_{value}"), name))
-    for keys, name in ((["snp_id", "pop"], "site and population"), (["snp_id"], "site"), (["sample"], "sample")):
-        rows = rows.join(group_median(clean, keys, "depth", f"{'_'.join(keys)}_depth"), keys, "left")
+        sources, kind = (call_sources, "genotype") if dependent == "call" else (base_sources, "base")
+        if determinant[0] == "snp_id":
+            by_site(dictionary, determinant[1], "value", f"fd{k}")
+            found = F.col(f"fd{k}")[F.col(determinant[1])]
+        else:
+            rows = rows.join(dictionary.withColumnRenamed("value", f"fd{k}"), list(determinant), "left")
+            found = F.col(f"fd{k}")
+        sources.append((found, f"dependency {'+'.join(determinant).replace('call', 'genotype')} -> {kind}"))
+    for value, sources in (("call", call_sources), ("base", base_sources)):
+        by_site(group_mode(clean, ["snp_id", "pop"], value, "m"), "pop", "m", f"pop_{value}")
+        rows = rows.join(group_mode(clean, ["snp_id"], value, f"site_{value}"), "snp_id", "left")
+        sources += [(F.col(f"pop_{value}")[F.col("pop")], "site and population"), (F.col(f"site_{value}"), "site")]
+    by_site(group_median(clean, ["snp_id", "pop"], "depth", "m"), "pop", "m", "pop_depth")
+    rows = rows.join(group_median(clean, ["snp_id"], "depth", "site_depth"), "snp_id", "left")
+    rows = rows.join(group_mode(clean, ["locus"], "call", "locus_call"), "locus", "left").join(group_median(clean, ["sample"], "depth", "sample_depth"), "sample", "left")
+    call_sources.append((F.col("locus_call"), "locus"))
     rows = rows.join(F.broadcast(group_median(clean, [], "depth", "any_depth")), how="left")  # one row
     rows = rows.join(F.broadcast(group_mode(clean, [], "base", "any_base")), how="left")  # one row
     call_sources.append((F.lit(0), "first allele"))
     base_sources.append((F.col("any_base"), "all"))
-    depth_sources = [(F.col("snp_id_pop_depth"), "site and population"), (F.col("snp_id_depth"), "site"), (F.col("sample_depth"), "sample"), (F.col("any_depth"), "all")]
+    depth_sources = [(F.col("pop_depth")[F.col("pop")], "site and population"), (F.col("site_depth"), "site"), (F.col("sample_depth"), "sample"), (F.col("any_depth"), "all")]
     call, geno_source = _filled(F.col("call"), F.col("call").isNull(), call_sources)
     base, base_source = _filled(F.col("base"), F.col("base").isNull(), base_sources)
     depth, depth_source = _filled(F.col("depth"), F.col("depth").isNull(), depth_sources)
