@@ -1,10 +1,10 @@
 """Similarity clustering: greedy centroids over verified neighbours, and read mapping.
 
-Candidates share a canonical k-mer (an equi-join); their identity is verified
-by exact edit distance in Arrow blocks; centroids are the lexicographically
-first independent set by rank, found in rounds that each end in the checkpoint
-folder. A k-mer held by very many reads would make a pair of each two of them;
-such k-mers are replaced by longer ones around them until groups are small.
+Neighbours are all pairs of a scope within the threshold, from the exact
+similarity join of problem 1 (it compares both strands; where only one is
+wanted, exact edit distance on that strand decides); centroids are the
+lexicographically first independent set by rank, found in rounds that each end
+in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -21,33 +21,18 @@ from stackloom.functions.sequence import reverse_complement
 from stackloom.plans.durable import cut, python_tasks
 
 
-def _kmers(rows: DataFrame, k: int, before: int | None = None) -> DataFrame:
-    """``scope, rec_id, kmer`` with each different k-mer of a record as a hash (equal hashes of unlike k-mers only make a candidate more), and the hash of its first ``before`` letters."""
-    every = F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq") - k + 1, F.lit(1))), lambda i: F.substring(F.col("seq"), i, F.lit(k)))
-    rows = rows.select("scope", "rec_id", F.explode(F.array_distinct(every)).alias("text"))
-    kept = [F.xxhash64("text").alias("kmer")] + ([F.xxhash64(F.substring("text", 1, before)).alias("short")] if before else [])
-    return rows.select("scope", "rec_id", *kept)
-
-
-def candidate_pairs(records: DataFrame, k: int = 16, most: int = 200) -> DataFrame:
-    """``scope, a, b`` (a < b) of records that share a k-mer. Groups of more than ``most`` records are
-    split by the k-mer's 8 following letters, again and again, until they are small or the records are alike."""
-    seqs = cut(records.select("scope", "rec_id", "seq"))
-    pairs, size = None, k
-    rows = _kmers(seqs, k)
-    for _ in range(4):
-        sizes = cut(rows.groupBy("scope", "kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        small = rows.join(sizes.where(F.col("n") <= most), ["scope", "kmer"])
-        gathered = small.groupBy("scope", "kmer").agg(F.array_sort(F.collect_list("rec_id")).alias("ids"))  # at most `most` ids
-        # the same records share many k-mers: equal groups are paired once
-        found = gathered.select("scope", "ids").distinct().select("scope", F.explode(F.flatten(F.transform("ids", lambda x: F.transform(F.filter("ids", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("scope", "p.a", "p.b").distinct()
-        pairs = found if pairs is None else pairs.unionByName(found)
-        large = sizes.where(F.col("n") > most).select("scope", F.col("kmer").alias("short"))
-        if not large.limit(1).count():
-            break
-        rows = _kmers(seqs, size + 8, size).join(large, ["scope", "short"], "left_semi").drop("short")
-        size += 8
-    return pairs.distinct()
+def candidate_pairs(records: DataFrame, k: int = 16, most: int = 1000, min_identity: float = 0.85) -> DataFrame:
+    """``scope, a, b, identity`` (a < b) of all pairs of records of a scope whose identity on either strand is at least ``min_identity``.
+
+    ``most`` bounds the records of a block, so that neither a hot scope nor a deep locus ends in one task. ``k`` is
+    accepted for callers of the earlier k-mer join and does nothing: the seeds' lengths follow from the threshold."""
+    from stackloom.llm.near_edits import similar_classes
+
+    classes = records.where("seq <> ''").select(F.lit("").alias("record_kind"), F.col("scope").alias("sample"), F.col("rec_id").alias("rep"), F.col("seq").alias("letters"))
+    found = similar_classes(classes, min_identity, most).select(F.col("sample").alias("scope"), F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), (1 - F.col("edits") / F.col("longer")).alias("identity"))
+    empty = records.where("seq = ''")
+    alike = empty.select("scope", F.col("rec_id").alias("a")).join(empty.select("scope", F.col("rec_id").alias("b")), "scope").where("a < b").select("scope", "a", "b", F.lit(1.0).alias("identity"))
+    return found.unionByName(alike)
 
 
 def verify_pairs(pairs: DataFrame, records: DataFrame, min_identity: float = 0.85) -> DataFrame:
@@ -101,11 +86,10 @@ def greedy_centroids(records: DataFrame, edges: DataFrame, max_rounds: int = 60)
 
 
 def cluster_sequences(records: DataFrame, min_identity: float = 0.85, both_strands: bool = False, k: int = 16) -> DataFrame:
-    """``scope, rec_id, seed`` for ``records(scope, rec_id, seq, rank)``. With ``both_strands`` sequences are compared on their smaller strand too."""
-    edges = verify_pairs(candidate_pairs(records, k), records, min_identity)
-    if both_strands:
-        flipped = records.withColumn("seq", F.least("seq", reverse_complement(F.col("seq"))))
-        edges = edges.unionByName(verify_pairs(candidate_pairs(flipped, k), flipped, min_identity)).distinct()
+    """``scope, rec_id, seed`` for ``records(scope, rec_id, seq, rank)``. With ``both_strands`` sequences also match on the other strand."""
+    edges = candidate_pairs(records, k, min_identity=min_identity)
+    if not both_strands:
+        edges = verify_pairs(edges.select("scope", "a", "b"), records, min_identity)
     return greedy_centroids(records, cut(edges))
 
 

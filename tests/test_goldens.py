@@ -207,3 +207,35 @@ def test_text_formats_roundtrip(spark, tmp_path):
     sinks.write_text(sinks.loci_rows(rows, spark.createDataFrame([(1, "  -")], "locus bigint, marks string")), str(tmp_path / "loci"), ["locus"])
     assert sorted((r["locus"], r["sample"], r["seq"]) for r in formats.read_loci(spark, str(tmp_path / "loci")).collect()) == [(1, "a", "ACG"), (1, "bb", "ACT")]
     assert formats.sample_names(["/x/a_R1_.fastq.gz", "/x/a_R2_.fastq.gz"], paired=True) == {"a": ("/x/a_R1_.fastq.gz", "/x/a_R2_.fastq.gz")}
+
+
+def plain_pairs(seqs, least=0.85):
+    enc, n = EncodedStrings(seqs), len(seqs)
+    a, b = np.triu_indices(n, 1)
+    longer = np.maximum(enc.lengths[a], enc.lengths[b])
+    good = 1 - pair_distances(enc, a, b) / longer >= least - 1e-12
+    return set(zip(a[good].tolist(), b[good].tolist()))
+
+
+def verified_pairs(spark, seqs):
+    df = spark.createDataFrame([("x", k, s) for k, s in enumerate(seqs)], "scope string, rec_id bigint, seq string")
+    found = [(r["a"], r["b"]) for r in cluster_join.verify_pairs(cluster_join.candidate_pairs(df).select("scope", "a", "b"), df).collect()]
+    assert len(found) == len(set(found))
+    return set(found)
+
+
+def test_a_deep_locus_keeps_all_its_pairs(spark):
+    rng = random.Random(7)
+    base = "".join(rng.choice("ACGT") for _ in range(90))
+    seqs = {base: None}
+    while len(seqs) < 1100:  # more than a block, and far more than 200
+        s = list(base)
+        for at in rng.sample(range(90), 2):
+            s[at] = rng.choice([c for c in "ACGT" if c != s[at]])
+        seqs["".join(s)] = None
+    seqs = list(seqs)
+    want = plain_pairs(seqs)
+    assert len(want) == 1100 * 1099 // 2 and verified_pairs(spark, seqs) == want
+    rows = [("x", k, s, k) for k, s in enumerate(seqs)]
+    out = cluster_join.cluster_sequences(spark.createDataFrame(rows, "scope string, rec_id bigint, seq string, rank int")).collect()
+    assert len(out) == 1100 and {r["seed"] for r in out} == {0}
