@@ -239,3 +239,17 @@ def test_a_deep_locus_keeps_all_its_pairs(spark):
     rows = [("x", k, s, k) for k, s in enumerate(seqs)]
     out = cluster_join.cluster_sequences(spark.createDataFrame(rows, "scope string, rec_id bigint, seq string, rank int")).collect()
     assert len(out) == 1100 and {r["seed"] for r in out} == {0}
+
+
+def test_pairs_near_the_threshold_need_no_shared_kmer(spark):
+    rng = random.Random(8)
+    seqs = []
+    for _ in range(40):
+        base = [rng.choice("ACGT") for _ in range(100)]
+        other = base.copy()
+        edits = rng.randrange(6, 16)
+        for at in range(100 // (edits + 1), 100, 100 // (edits + 1))[:edits]:  # no 16 letters stay whole
+            other[at] = rng.choice([c for c in "ACGT" if c != base[at]])
+        seqs += ["".join(base), "".join(other)]
+    want = plain_pairs(seqs)
+    assert len(want) == 40 and verified_pairs(spark, seqs) == want
