@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,43 +235,51 @@ class Patterns:
     def __init__(self, counts: np.ndarray, weight: np.ndarray, base_share: np.ndarray):
         self.counts, self.weight, self.share = counts, weight, base_share
         self.total = counts.sum(axis=1)
-        log_factorial = np.array([math.lgamma(n + 1) for n in range(int(self.total.max(initial=0)) + 1)])
-        self.multinomial = log_factorial[self.total] - log_factorial[counts].sum(axis=1)
+        values, at = np.unique(np.column_stack([counts, self.total]), return_inverse=True)
+        log_factorial = np.array([math.lgamma(n + 1) for n in values])[at.reshape(-1, 5)]
+        self.multinomial = log_factorial[:, 4] - log_factorial[:, :4].sum(axis=1)
 
     def negative_log_likelihood(self, het: float, error: float) -> float:
         """Of unordered count patterns, as a mixture of homozygous and heterozygous sites."""
         if not 0 <= het < 1 or not 0 < error < 1:
             return math.inf
         counts, total, share = self.counts, self.total, self.share
-        like1, like2 = np.zeros(len(counts)), np.zeros(len(counts))
         norm = 2 / max(1e-12, 1 - float((share**2).sum()))
+        # sums of logarithms: the terms of deep columns are below the smallest float
+        like = np.full(len(counts), -np.inf)
         for i in range(4):
-            like1 += share[i] * np.exp(self.multinomial + counts[:, i] * math.log(1 - error) + (total - counts[:, i]) * math.log(error / 3))
+            if share[i] > 0:
+                like = np.logaddexp(like, math.log((1 - het) * share[i]) + counts[:, i] * math.log(1 - error) + (total - counts[:, i]) * math.log(error / 3))
             for j in range(i + 1, 4):
-                pair = counts[:, i] + counts[:, j]
-                like2 += norm * share[i] * share[j] * np.exp(self.multinomial + pair * math.log(0.5 * (1 - 2 * error / 3)) + (total - pair) * math.log(error / 3))
-        return -float((self.weight * np.log(np.maximum((1 - het) * like1 + het * like2, 1e-300))).sum())
+                if het * share[i] * share[j] > 0:
+                    pair = counts[:, i] + counts[:, j]
+                    like = np.logaddexp(like, math.log(het * norm * share[i] * share[j]) + pair * math.log(0.5 * (1 - 2 * error / 3)) + (total - pair) * math.log(error / 3))
+        return -float((self.weight * (self.multinomial + like)).sum())
 
 
-def estimate_het_error(columns_by_sample: DataFrame, min_depth: int = 6, max_patterns: int = 100_000) -> DataFrame:
-    """``sample, hetero_est, error_est, n_columns`` by maximum likelihood.
+def estimate_het_error(columns_by_sample: DataFrame, min_depth: int = 6, block: int = 100_000) -> DataFrame:
+    """``sample, hetero_est, error_est, n_columns`` by maximum likelihood, one row for each sample of the input.
 
     Columns are first reduced to their different count patterns with
     multiplicities (there are few however many columns), so each sample's fit
-    reads a small table; patterns beyond ``max_patterns`` by count are left
-    out of the fit. Where it fails, 0.01 and 0.001 stand."""
-    patterns = columns_by_sample.where((F.col("depth") >= min_depth) & (F.col("depth") <= _MAX_DEPTH)).groupBy("sample", "c", "a", "t", "g").agg(F.count(F.lit(1)).alias("n"))
+    reads a small table, ``block`` patterns at a time. All columns of at least
+    ``min_depth`` are fitted with their whole counts, however deep. Where the
+    fit fails or a sample has no such column, 0.01 and 0.001 stand."""
+    usable = F.col("depth") >= min_depth
+    patterns = columns_by_sample.select("sample", *[F.when(usable, F.col(b)).alias(b) for b in "catg"]).groupBy("sample", "c", "a", "t", "g").agg(F.count(F.lit(1)).alias("n"))
 
     def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("n", "descending")]).slice(0, max_patterns)
+        sample, group = group.column("sample")[0].as_py(), group.filter(pc.is_valid(group.column("c")))
         counts = np.column_stack([group.column(b).to_numpy() for b in "catg"]).astype(np.int64)
         weight = group.column("n").to_numpy().astype(float)
-        bases = (counts * weight[:, None]).sum(axis=0)
-        share = bases / max(1.0, bases.sum())
-        own = Patterns(counts, weight, share)
-        best, value = _simplex(lambda p: own.negative_log_likelihood(p[0], p[1]), np.array([0.01, 0.001]))
-        het, error = best if math.isfinite(value) else (0.01, 0.001)
-        return pa.table({"sample": pa.array([group.column("sample")[0].as_py()], pa.string()), "hetero_est": pa.array([float(het)]), "error_est": pa.array([float(error)]), "n_columns": pa.array([int(weight.sum())])})
+        het, error = 0.01, 0.001
+        if len(weight):
+            bases = (counts * weight[:, None]).sum(axis=0)
+            share = bases / max(1.0, bases.sum())
+            own = [Patterns(counts[k : k + block], weight[k : k + block], share) for k in range(0, len(weight), block)]
+            best, value = _simplex(lambda p: sum(x.negative_log_likelihood(p[0], p[1]) for x in own), np.array([het, error]))
+            het, error = best if math.isfinite(value) else (het, error)
+        return pa.table({"sample": pa.array([sample], pa.string()), "hetero_est": pa.array([float(het)]), "error_est": pa.array([float(error)]), "n_columns": pa.array([int(weight.sum())])})
 
     return patterns.repartition(python_tasks(patterns.sparkSession), "sample").groupBy("sample").applyInArrow(fit, "sample string, hetero_est double, error_est double, n_columns bigint")
 

@@ -155,7 +155,7 @@ def w02_k17_renumber(spark, d):
 def a08_m04_het_error(spark, d):
     rows = _stacks(spark, d)
     owner = rows.select("cluster_id", "sample").distinct()
-    return K.estimate_het_error(_deep_columns(spark, d).join(owner, "cluster_id"))
+    return K.estimate_het_error(owner.join(_deep_columns(spark, d), "cluster_id", "left"))
 
 
 @query()

@@ -253,3 +253,25 @@ def test_pairs_near_the_threshold_need_no_shared_kmer(spark):
         seqs += ["".join(base), "".join(other)]
     want = plain_pairs(seqs)
     assert len(want) == 40 and verified_pairs(spark, seqs) == want
+
+
+def test_het_error_uses_deep_columns_all_patterns_and_all_samples(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for sample, depth, n in (("deep", 2000, 1500), ("mixed", 40, 1500), ("mixed", 2000, 500)):
+        for _ in range(n):
+            i, j = rng.permutation(4)[:2]
+            p = np.full(4, 0.002 / 3)
+            p[i] = 1 - 0.002
+            if rng.random() < 0.05:
+                p[i] = p[j] = 0.5 * (1 - 2 * 0.002 / 3)
+            rows.append((sample, *map(int, rng.multinomial(depth, p / p.sum())), depth))
+    rows += [("shallow", 3, 0, 0, 0, 3)] * 4 + [("none", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "sample string, c bigint, a bigint, t bigint, g bigint, depth bigint")
+    out = {r["sample"]: r for r in stacks.estimate_het_error(df).collect()}
+    assert {s: r["n_columns"] for s, r in out.items()} == {"deep": 1500, "mixed": 2000, "shallow": 0, "none": 0}
+    for s in ("deep", "mixed"):
+        assert abs(out[s]["hetero_est"] - 0.05) < 0.015 and abs(out[s]["error_est"] - 0.002) < 0.0003
+    assert all((out[s]["hetero_est"], out[s]["error_est"]) == (0.01, 0.001) for s in ("shallow", "none"))
+    blocks = {r["sample"]: r for r in stacks.estimate_het_error(df, block=7).collect()}
+    assert all(abs(blocks[s]["hetero_est"] - out[s]["hetero_est"]) < 1e-6 and blocks[s]["n_columns"] == out[s]["n_columns"] for s in out)
