@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,16 +94,107 @@ def cluster_sequences(records: DataFrame, min_identity: float = 0.85, both_stran
     return greedy_centroids(records, cut(edges))
 
 
-def map_reads(reads: DataFrame, reference: DataFrame, k: int = 20, max_mismatch: float = 0.1) -> DataFrame:
-    """``read_id, chrom, pos, strand, mismatches``: the best ungapped placement of each read.
-
-    Reads' k-mers at steps of ``k`` meet all k-mers of the reference in an
-    equi-join, which gives start positions; letters are then compared in the JVM."""
+#: reads of a cell
+_READS = 20_000
+
+
+def _placements(strands: DataFrame, reference: DataFrame, max_mismatch: float, stretch: int) -> DataFrame:
+    """``read_id, mismatches, chrom, pos, strand``: every placement of ``strands(read_id, strand, seq, size)`` that holds
+    one of the read's consecutive pieces of ``size`` letters exactly and has at most ``max_mismatch`` of its letters wrong.
+
+    Short pieces occur everywhere by chance, so reads and stretches of the reference meet in bounded cells and only placements leave them."""
+    letters = reference.agg(F.sum(F.length("seq"))).first()[0] or 0
+    n, longest = strands.agg(F.count(F.lit(1)), F.max(F.length("seq"))).first()
+    blocks, parts = max(1, -(-letters // stretch)), max(1, -(-n // _READS))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # stretches overlap by the longest read; a placement belongs to the stretch it starts in
+    stretches = reference.where("seq <> ''").select("chrom", F.explode(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(stretch))).alias("start"), "seq").select("chrom", "start", F.expr(f"substring(seq, start + 1, {stretch + (longest or 0)})").alias("seq"))
+    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    texts = stretches.select(F.pmod(F.xxhash64("chrom", "start"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"), nothing(strands, "read_id"), F.lit(None).cast("string").alias("strand"), F.lit(0).alias("size"), "chrom", "start", "seq")
+    reads = strands.where("seq <> ''").select(every(blocks).alias("block"), F.pmod(F.xxhash64("read_id", "strand"), F.lit(parts)).cast("int").alias("part"), "read_id", "strand", "size", nothing(reference, "chrom"), F.lit(0).alias("start"), "seq")
+    cells = texts.unionByName(reads).repartition(python_tasks(strands.sparkSession), "block", "part")
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((strands, "read_id"), (reference, "chrom"))}
+
+    def match(group: pa.Table) -> pa.Table:
+        of_reads = pc.is_valid(group.column("strand"))
+        text, read = group.filter(pc.invert(of_reads)), group.filter(of_reads)
+        t, r, wrong, pos = _match_pieces(text.column("seq").to_pylist(), read.column("seq").to_pylist(), read.column("size").to_numpy(), max_mismatch, stretch)
+        pos = text.column("start").to_numpy()[t] + pos
+        return pa.table({"read_id": read.column("read_id").take(pa.array(r)), "mismatches": pa.array(wrong.astype(np.int32)), "chrom": text.column("chrom").take(pa.array(t)), "pos": pa.array(pos.astype(np.int32)), "strand": read.column("strand").take(pa.array(r))})
+
+    return cells.groupBy("block", "part").applyInArrow(match, f"read_id {kinds['read_id']}, mismatches int, chrom {kinds['chrom']}, pos int, strand string")
+
+
+def _match_pieces(texts: list[str], reads: list[str], size: np.ndarray, max_mismatch: float, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, read, mismatches, position) of placements that start in the first ``stretch`` letters of a text."""
+    encode = lambda strings: [x.encode("latin-1", "replace") for x in strings]
+    texts, reads = encode(texts), encode(reads)
+    length, text_length = (np.array([len(x) for x in some], dtype=np.int64) for some in (reads, texts))
+    width = int(length.max(initial=1))
+    joined = np.frombuffer(b"".join(texts) + bytes(width), np.uint8)
+    end = np.cumsum(text_length)
+    text_of = np.repeat(np.arange(len(texts)), text_length)
+    windows, column = np.lib.stride_tricks.sliding_window_view(joined, width), np.arange(width)
+    padded = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in reads), np.uint8).reshape(len(reads), width)
+
+    def code(letters: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(len(at), dtype=np.uint64)  # equal codes of unlike pieces only make a candidate more
+        for i in range(k):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + letters[at + i]
+        return out
+
+    kept = [(np.zeros(0, dtype=np.int64),) * 4]
+    for k in np.unique(size):
+        k, rows = int(k), np.flatnonzero((size == k) & (length >= k))
+        pieces = length[rows] // k
+        row = np.repeat(rows, pieces)
+        at = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * k
+        places = np.flatnonzero(np.arange(len(text_of)) + k <= end[text_of]) if len(text_of) else np.zeros(0, dtype=np.int64)
+        codes = code(joined, places, k)
+        order = np.argsort(codes)
+        places, codes = places[order], codes[order]
+        wanted = code(padded.reshape(-1), row * width + at, k)
+        low = np.searchsorted(codes, wanted, "left")
+        ends = np.cumsum(np.searchsorted(codes, wanted, "right") - low)
+        step = max(1, (1 << 24) // width)
+        for first in range(0, int(ends[-1]) if len(ends) else 0, step):  # candidates by number, so that a frequent piece is cut too
+            number = np.arange(first, min(first + step, int(ends[-1])))
+            which = np.searchsorted(ends, number, "right")
+            begin = np.where(which > 0, ends[which - 1], 0)
+            p = places[low[which] + number - begin]
+            t, r = text_of[p], row[which]
+            start = p - at[which]
+            local = start - (end[t] - text_length[t])
+            good = np.flatnonzero((local >= 0) & (local < stretch))
+            t, r, start, local = t[good], r[good], start[good], local[good]
+            differ = windows[start] != padded[r]
+            differ |= column >= (end[t] - start)[:, None]
+            differ &= column < length[r][:, None]
+            wrong = differ.sum(axis=1)
+            good = np.flatnonzero(wrong <= length[r] * max_mismatch)
+            kept.append((t[good], r[good], wrong[good], local[good]))
+    return tuple(np.concatenate(x) for x in zip(*kept))
+
+
+def _best(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("read_id").agg(F.min(F.struct("mismatches", "chrom", "pos", "strand")).alias("m")).select("read_id", "m.chrom", "m.pos", "m.strand", "m.mismatches")
+
+
+def map_reads(reads: DataFrame, reference: DataFrame, k: int = 20, max_mismatch: float = 0.1, stretch: int = 1 << 21) -> DataFrame:
+    """``read_id, chrom, pos, strand, mismatches``: the best ungapped placement of each read with at most
+    ``max_mismatch`` of its letters wrong.
+
+    Of n consecutive pieces of a read, one is whole in every placement with fewer than n mismatches. The first pass has
+    pieces of ``k`` letters; a read without a placement that it decides has a second one with more pieces than mismatches are allowed, in cells of about ``stretch`` letters of the reference."""
     strands = reads.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("seq")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")))).alias("s")).select("read_id", "s.*")
     seeds = strands.select("read_id", "strand", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)), F.lit(k))).alias("at")).withColumn("kmer", F.substring("seq", F.col("at") + 1, F.lit(k)))
     index = reference.select("chrom", F.col("seq").alias("ref"), F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)))).alias("p")).select("chrom", "p", F.substring("ref", F.col("p") + 1, F.lit(k)).alias("kmer"))
     starts = seeds.join(index, "kmer").select("read_id", "strand", "seq", "chrom", (F.col("p") - F.col("at")).alias("pos")).where("pos >= 0").distinct()
     placed = starts.join(reference.select("chrom", F.col("seq").alias("ref")), "chrom").select("read_id", "strand", "seq", "chrom", "pos", F.substring("ref", F.col("pos") + 1, F.length("seq")).alias("under"))
     wrong = F.aggregate(F.sequence(F.lit(1), F.length("seq")), F.lit(0), lambda s, i: s + F.when(F.substring(F.col("seq"), i, F.lit(1)) == F.substring(F.col("under"), i, F.lit(1)), 0).otherwise(1))
-    scored = placed.withColumn("mismatches", wrong).where(F.col("mismatches") <= F.length("seq") * max_mismatch)
-    return scored.groupBy("read_id").agg(F.min(F.struct("mismatches", "chrom", "pos", "strand")).alias("m")).select("read_id", "m.chrom", "m.pos", "m.strand", "m.mismatches")
+    first = _best(placed.withColumn("mismatches", wrong).where(F.col("mismatches") <= F.length("seq") * max_mismatch))
+    pieces = reads.groupBy("read_id").agg(F.min(F.floor(F.length("seq") / k)).alias("pieces"))
+    decided = cut(first.join(pieces, "read_id").where("mismatches < pieces").drop("pieces"))
+    size = F.greatest(F.floor(F.length("seq") / (F.floor(F.length("seq") * max_mismatch) + 1)).cast("int"), F.lit(1))
+    rest = cut(strands.join(decided.select("read_id"), "read_id", "left_anti").withColumn("size", size))
+    return decided.unionByName(_best(_placements(rest, reference, max_mismatch, stretch)))

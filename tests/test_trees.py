@@ -52,3 +52,30 @@ def test_dereplicated_stream(spark, tmp_path):
     stream = streams.event_stream(spark, str(tmp_path / "in"), "sample string, seq string")
     out = streams.drain(streams.dereplicated_stream(stream), "derep_test")
     assert sorted(map(tuple, out.collect())) == [("s", "AC", 2), ("t", "AC", 1)]
+
+
+def test_reads_with_mismatches_in_every_stretch_are_placed(spark):
+    import random
+
+    rng = random.Random(2)
+    other = lambda c: rng.choice([x for x in "ACGT" if x != c])
+    refs = ["".join(rng.choice("ACGT") for _ in range(500)) for _ in range(4)]
+    rows, want = [], {}
+    for k in range(60):
+        n, c = rng.choice([15, 36, 60, 90, 101]), rng.randrange(4)
+        p, wrong = rng.randrange(500 - n), rng.randrange(n // 10 + 1)
+        s = list(refs[c][p : p + n])
+        for at in range(wrong):  # evenly spread: no 20 letters stay whole
+            at = (2 * at + 1) * n // (2 * wrong)
+            s[at] = other(s[at])
+        rows.append((k, "".join(s)))
+        want[k] = (f"c{c}", p, "+", wrong)
+    flipped = [(k + 100, s.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for k, s in rows]
+    want |= {k + 100: (c, p, "-", w) for k, (c, p, _, w) in list(want.items())}
+    rows += [*flipped, (900, refs[0][450:] + "ACGTA"), (901, "ACGT" * 20), (902, refs[1][100:145] + "T" + refs[1][145:190])]
+    want[900] = ("c0", 450, "+", 5)
+    reads = spark.createDataFrame(rows, "read_id bigint, seq string")
+    reference = spark.createDataFrame([(f"c{k}", r) for k, r in enumerate(refs)], "chrom string, seq string")
+    for cell in ({}, {"stretch": 120}):
+        found = cluster_join.map_reads(reads, reference, **cell).collect()
+        assert len(found) == len(want) and {r["read_id"]: (r["chrom"], r["pos"], r["strand"], r["mismatches"]) for r in found} == want
