@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions.sequence import code_of_pair, count_letter, internal_gaps, trim_terminal
-from stackloom.plans.durable import python_tasks
+from stackloom.plans.durable import cut, python_tasks
 
 _MAX_DEPTH = 500
 
@@ -325,50 +325,70 @@ def centre_star(seqs: list[str]) -> list[str]:
         return []
     known = {s: _align(seqs[0], s) for s in dict.fromkeys(seqs[1:])}
     seed, pairs = seqs[0], [known[s] for s in seqs[1:]]
-    # the most letters any row puts before each letter of the seed
     room = [0] * (len(seed) + 1)
     for a, _ in pairs:
-        at, run = 0, 0
-        for c in a:
-            if c == "-":
-                run += 1
-                room[at] = max(room[at], run)
-            else:
-                at, run = at + 1, 0
+        for at, n in _inserted(a).items():
+            room[at] = max(room[at], n)
+    return [_lay(seed, seed, room), *[_lay(a, b, room) for a, b in pairs]]
 
-    def lay(a: str, b: str) -> str:
-        out, at, run = [], 0, []
-        for c, x in zip(a, b):
-            if c == "-":
-                run.append(x)
-            else:
-                out.append("".join(run) + "-" * (room[at] - len(run)) + x)
-                at, run = at + 1, []
-        return "".join(out) + "".join(run) + "-" * (room[at] - len(run))
 
-    return [lay(seed, seed), *[lay(a, b) for a, b in pairs]]
+def _inserted(a: str) -> dict[int, int]:
+    """How many letters a row puts before each letter of the seed, whose side of the alignment is ``a``."""
+    out, at = {}, 0
+    for c in a:
+        if c == "-":
+            out[at] = out.get(at, 0) + 1
+        else:
+            at += 1
+    return out
 
 
-def align_stacks(stacks: DataFrame, most: int = 200) -> DataFrame:
+def _lay(a: str, b: str, room: list[int]) -> str:
+    """The row ``b`` with ``room`` columns before each letter of the seed."""
+    out, at, run = [], 0, []
+    for c, x in zip(a, b):
+        if c == "-":
+            run.append(x)
+        else:
+            out.append("".join(run) + "-" * (room[at] - len(run)) + x)
+            at, run = at + 1, []
+    return "".join(out) + "".join(run) + "-" * (room[at] - len(run))
+
+
+def align_stacks(stacks: DataFrame, most: int | None = None) -> DataFrame:
     """``cluster_id, hit_rank, aligned``: the reads of each cluster aligned to its seed, mates apart.
 
-    A cluster keeps its first ``most`` reads by rank, as the aligner's own
-    limit; the rank is cut before the reads are gathered, so a deep cluster is bounded."""
-    plain = stacks.where(F.col("hit_rank") < most).select("cluster_id", "hit_rank", F.regexp_replace("aligned_seq", "-", "").alias("seq")).where("length(seq) > 0")
-    whole = plain.repartition(python_tasks(stacks.sparkSession), "cluster_id").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("hit_rank", "seq"))).alias("rows"))
+    Each read is aligned to the seed for itself; only the largest number of letters put before each letter of the
+    seed is gathered by cluster, so a deep cluster is spread over tasks. With ``most`` a cluster keeps its first
+    ``most`` reads by rank (the reference's aligner: 200); by default it keeps all."""
+    plain = (stacks if most is None else stacks.where(F.col("hit_rank") < most)).select("cluster_id", "hit_rank", F.regexp_replace("aligned_seq", "-", "").alias("seq")).where("length(seq) > 0")
+    seeds = plain.groupBy("cluster_id").agg(F.min(F.struct("hit_rank", "seq"))["seq"].alias("seed"), F.bool_and(F.size(F.split("seq", "nnnn")) == 2).alias("mates"))
+    each = plain.join(seeds, "cluster_id").select("cluster_id", "hit_rank", "seq", "seed", "mates").repartition(python_tasks(stacks.sparkSession), "cluster_id", "hit_rank")
+    spot = "array<struct<part:int,at:int,n:int>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, rooms = [], [], []
+            for seq, seed, mates in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                pairs = [_align(x, y) for x, y in zip(seed.split("nnnn"), seq.split("nnnn"))] if mates else [_align(seed, seq)]
+                a.append([x for x, _ in pairs])
+                b.append([y for _, y in pairs])
+                rooms.append([{"part": k, "at": at, "n": n} for k, x in enumerate(a[-1]) for at, n in _inserted(x).items()])
+            kinds = pa.list_(pa.struct([("part", pa.int32()), ("at", pa.int32()), ("n", pa.int32())]))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(a, pa.list_(pa.string())), pa.array(b, pa.list_(pa.string())), pa.array(rooms, kinds)], names=["cluster_id", "hit_rank", "a", "b", "room"])
+
+    aligned = cut(each.mapInArrow(align, f"cluster_id bigint, hit_rank int, a array<string>, b array<string>, room {spot}"))
+    most_at = aligned.select("cluster_id", F.explode("room").alias("r")).groupBy("cluster_id", "r.part", "r.at").agg(F.max("r.n").alias("n"))
+    room = most_at.groupBy("cluster_id").agg(F.collect_list(F.struct("part", "at", "n")).alias("room"))  # at most a seed's letters
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ranks, out = [], [], []
-            for cid, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mates = [r["seq"].split("nnnn") for r in rows]
-                if all(len(m) == 2 for m in mates):
-                    made = ["nnnn".join(x) for x in zip(centre_star([m[0] for m in mates]), centre_star([m[1] for m in mates]))]
-                else:
-                    made = centre_star([r["seq"] for r in rows])
-                ids += [cid] * len(rows)
-                ranks += [r["hit_rank"] for r in rows]
-                out += made
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ranks, pa.int32()), pa.array(out, pa.string())], names=["cluster_id", "hit_rank", "aligned"])
-
-    return whole.mapInArrow(run, "cluster_id bigint, hit_rank int, aligned string")
+            out = []
+            for a, b, spots in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                rooms = [[0] * (len(x.replace("-", "")) + 1) for x in a]
+                for r in spots or []:
+                    rooms[r["part"]][r["at"]] = r["n"]
+                out.append("nnnn".join(_lay(x, y, z) for x, y, z in zip(a, b, rooms)))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["cluster_id", "hit_rank", "aligned"])
+
+    return aligned.drop("room").join(room, "cluster_id", "left").select("cluster_id", "hit_rank", "a", "b", "room").mapInArrow(lay, "cluster_id bigint, hit_rank int, aligned string")

@@ -275,3 +275,19 @@ def test_het_error_uses_deep_columns_all_patterns_and_all_samples(spark):
     assert all((out[s]["hetero_est"], out[s]["error_est"]) == (0.01, 0.001) for s in ("shallow", "none"))
     blocks = {r["sample"]: r for r in stacks.estimate_het_error(df, block=7).collect()}
     assert all(abs(blocks[s]["hetero_est"] - out[s]["hetero_est"]) < 1e-6 and blocks[s]["n_columns"] == out[s]["n_columns"] for s in out)
+
+
+def test_all_reads_of_a_deep_cluster_are_aligned(spark):
+    rng = random.Random(5)
+    base = "".join(rng.choice("ACGT") for _ in range(50))
+    read = lambda s: s[: (k := rng.randrange(1, 49))] + rng.choice(["", "A", "CG", "TTT"]) + s[k + rng.randrange(3) :]
+    single = [base, *[read(base) for _ in range(299)]]
+    paired = [f"{base}nnnn{base[::-1]}", *[f"{read(base)}nnnn{read(base[::-1])}" for _ in range(249)]]
+    mixed = [base, paired[1], base[5:]]
+    rows = [(c, k, s) for c, some in enumerate((single, paired, mixed)) for k, s in enumerate(some)]
+    df = spark.createDataFrame(rows, "cluster_id bigint, hit_rank int, aligned_seq string")
+    out = {(r["cluster_id"], r["hit_rank"]): r["aligned"] for r in stacks.align_stacks(df).collect()}
+    halves = [stacks.centre_star([s.split("nnnn")[k] for s in paired]) for k in (0, 1)]
+    want = [stacks.centre_star(single), ["nnnn".join(x) for x in zip(*halves)], stacks.centre_star(mixed)]
+    assert out == {(c, k): s for c, some in enumerate(want) for k, s in enumerate(some)}
+    assert stacks.align_stacks(df, most=200).count() == 403
