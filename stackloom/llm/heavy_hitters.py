@@ -93,14 +93,31 @@ def summarise(columns: DataFrame, counters: int, fan_in: int = 16) -> DataFrame:
             return rows.drop("node")
 
 
+#: counters of a metric above which all items are counted instead
+_MOST = 1 << 20
+
+
 def frequent_items(columns: DataFrame, top: int = 20, counters: int = 4096) -> DataFrame:
     """``(metric, item, approx_count, max_error)``: for each column all items that can be
     among its ``top`` most frequent. The true count lies between
-    ``approx_count`` and ``approx_count + max_error``.
+    ``approx_count`` and ``approx_count + max_error``. Summaries are enlarged
+    as for ``top_items``; where all items are counted, ``max_error`` is 0.
 
     Null items do not count; blank ones count like any other (clean before);
     an empty table gives no rows; ties at the border are all kept."""
-    return _possible(summarise(columns, counters), top)
+    found = _candidates(columns, top, counters)
+    if found is not None:
+        return found
+    from stackloom.plans.durable import cut
+
+    counted = cut(_melted(columns).groupBy("metric", "item").agg(F.count(F.lit(1)).alias("approx_count")))
+    best = None
+    for m in columns.columns:
+        own = counted.where(F.col("metric") == m)
+        border = own.orderBy(F.desc("approx_count")).limit(top).agg(F.min("approx_count").alias("border"))  # one row
+        one = own.join(F.broadcast(border), F.col("approx_count") >= F.col("border")).drop("border")
+        best = one if best is None else best.unionByName(one)
+    return best.withColumn("max_error", F.lit(0).cast("bigint"))
 
 
 def _possible(rows: DataFrame, top: int) -> DataFrame:
@@ -111,27 +128,32 @@ def _possible(rows: DataFrame, top: int) -> DataFrame:
     return named.join(border, "metric").where("approx_count + max_error >= border").drop("border")
 
 
-def top_items(columns: DataFrame, top: int = 20, counters: int = 4096) -> DataFrame:
-    """``(metric, item, hits)``: the ``top`` most frequent items of each column
-    with exact counts; ties by item. Candidates come from the summaries and
-    are then counted. Where the error bound cannot part the candidates from
-    the dropped items, the summary is made again with 8 times the counters;
-    above a million counters all items are counted."""
+def _candidates(columns: DataFrame, top: int, counters: int) -> DataFrame | None:
+    """The items that can be among the ``top``, from a summary large enough to have a counter for each; None if that needs more than ``_MOST``."""
     from stackloom.plans.durable import cut
 
-    metrics = columns.columns
-    while True:
+    while counters <= _MOST:
         rows = cut(summarise(columns, counters))
         # an item without a counter occurs at most `error` times; it must lie below the border
         state = rows.groupBy("metric").agg(F.max("error").alias("error"), F.slice(F.sort_array(F.collect_list(F.when(F.col("item").isNotNull(), F.col("kept"))), asc=False), top, 1).alias("last")).collect()
         if all(s["error"] == 0 or (s["last"] and s["last"][0] > s["error"]) for s in state):
-            found = _possible(rows, top)
-            break
+            return _possible(rows, top)
         counters *= 8
-        if counters > 1 << 20:
-            found = None
-            break
-    melted = columns.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("item")) for m in metrics])).alias("x")).select("x.*").where("item is not null")
+    return None
+
+
+def _melted(columns: DataFrame) -> DataFrame:
+    return columns.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("item")) for m in columns.columns])).alias("x")).select("x.*").where("item is not null")
+
+
+def top_items(columns: DataFrame, top: int = 20, counters: int = 4096) -> DataFrame:
+    """``(metric, item, hits)``: the ``top`` most frequent items of each column
+    with exact counts; ties by item. Candidates come from the summaries and
+    are then counted. Where the error bound cannot part the candidates from
+    the dropped items, the summary is made again with 8 times the counters;
+    above a million counters all items are counted."""
+    metrics = columns.columns
+    found, melted = _candidates(columns, top, counters), _melted(columns)
     if found is not None:
         melted = melted.join(found.select("metric", "item"), ["metric", "item"], "left_semi")
     counted = melted.groupBy("metric", "item").agg(F.count(F.lit(1)).alias("hits"))

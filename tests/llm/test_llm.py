@@ -268,3 +268,18 @@ def test_reading_edge_cases(spark):
     assert [by[k]["basis"] for k in (100, 101, 102, 103)] == ["no words", "no words", "no words", "short"]
     assert reading_levels(df.limit(0), labels).count() == 0
     assert {r["level"] for r in reading_levels(df, labels.limit(0)).where("n_words > 0").collect()} == {3.0}
+
+
+def test_frequent_items_of_a_flat_column(spark, monkeypatch):
+    """A small summary has no counter for most items; none that can be among the top may be missing."""
+    from stackloom.llm import heavy_hitters
+
+    rows = [(f"v{k:03d}", "z") for k in range(300) for _ in range(k % 7 + 1)]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(8)
+    true = Counter(a for a, _ in rows)
+    for most in (heavy_hitters._MOST, 4):  # enlarged, and counted
+        monkeypatch.setattr(heavy_hitters, "_MOST", most)
+        out = {(r["metric"], r["item"]): (r["approx_count"], r["max_error"]) for r in frequent_items(df, 3, counters=4).collect()}
+        assert out.pop(("b", "z")) == (len(rows), 0)
+        assert {i for i, n in true.items() if n == 7} <= {i for _, i in out}
+        assert all(n <= true[i] <= n + e for (_, i), (n, e) in out.items())
