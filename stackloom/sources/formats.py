@@ -7,79 +7,223 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from stackloom.operators.rejects import fastq_failure
+
 #: endings stripped from file names to get sample names (fixed values)
 _ENDINGS = (".fastq.gz", ".fq.gz", ".fastq", ".fq", ".gz")
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, name, seq, qual`` from FASTQ files, plain or gzipped.
+#: what ``scan_fastq`` gives for each record or rejected piece of text
+_SCANNED = pa.schema([("file", pa.string()), ("block", pa.int64()), ("k", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("seq", pa.string()), ("qual", pa.string()), ("reason", pa.string()), ("text", pa.string())])
+_SCANNED_DDL = "file string, block bigint, k bigint, kind string, name string, seq string, qual string, reason string, text string"
+
+
+def scan_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, block, k, name, seq, qual, reason, text`` from FASTQ files, plain or gzipped: valid records with a null
+    ``reason`` and ``text``, all else with a reason and the text. ``block`` and ``k`` order a file's rows.
 
-    The text is cut at line ends before ``@``, so plain files are split and
-    read in parallel without counting lines. Where a quality line starts with
-    ``@`` a record falls into two pieces; they are joined again, also across
-    the border of two splits (those few pieces are gathered by file)."""
+    The text is cut at line ends before ``@``, so plain files are split and read in parallel without counting lines,
+    and every piece is judged by itself: a bad record never costs its neighbours. A piece of four lines or more is a
+    record of its first four; lines beyond them are rejected. A quality line that starts with ``@`` leaves a piece of
+    three lines and one that is no record itself, which are put together again, also across the border of two splits (at
+    most two rows for each split are gathered by file)."""
     names = [paths] if isinstance(paths, str) else paths
     pieces = spark.read.option("lineSep", "\n@").text(names).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    parsed = pieces.mapInArrow(_join_pieces, "file string, block bigint, head boolean, piece string, name string, seq string, qual string")
-    whole = parsed.where("piece is null").select("file", "name", "seq", "qual")
+    scanned = pieces.mapInArrow(_scan_pieces, _SCANNED_DDL)
+    whole = scanned.where("kind = 'whole'")
 
     def stitch(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("block").to_pylist(), group.column("head").to_pylist(), group.column("piece").to_pylist()), key=lambda r: (r[0], not r[1]))
-        out, last = [], None
-        for _, head, piece in rows:
-            last = f"{last}\n@{piece}" if head and last is not None else piece
-            if (record := _record(last)) is not None:
-                out.append(record)
-                last = None
-        return _fastq_table([(group.column("file")[0].as_py(), *r) for r in out])
-
-    # at most two pieces for each split of a file
-    borders = parsed.where("piece is not null").groupBy("file").applyInArrow(stitch, "file string, name string, seq string, qual string")
-    return whole.unionByName(borders)
-
-
-def _record(text: str) -> tuple[str, str, str] | None:
-    """Name, sequence and quality of a whole record; null while its quality is shorter than its sequence."""
-    parts = text.rstrip("\r\n").replace("\r\n", "\n").split("\n")
-    return (parts[0].removeprefix("@"), parts[1], parts[3]) if len(parts) == 4 and len(parts[3]) >= len(parts[1]) else None
-
-
-def _fastq_table(rows: list[tuple]) -> pa.Table:
-    return pa.table({n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(("file", "name", "seq", "qual"))})
-
-
-def _join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole records, and the pieces at the ends of a split that make no record alone."""
-    at, last, fresh = None, None, True
-
-    def emit(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string())
-        return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["file", "block", "head", "piece", "name", "seq", "qual"])
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("block", "kind", "k", "text"))), key=lambda r: (r[0], r[1] != "start"))
+        texts, places, tail = [], [], None
+        for block, kind, k, text in rows:
+            if kind == "start":
+                if text is not None and tail is not None and _goes_on(pa.array([tail[2]]), pa.array([text]))[0]:
+                    tail = (*tail[:2], f"{tail[2]}\n@{text}")
+                elif text is not None:
+                    places.append((block, k))
+                    texts.append(text)
+                if tail is not None:
+                    places.append(tail[:2])
+                    texts.append(tail[2])
+                tail = None
+            else:
+                tail = (block, k, text)
+        if tail is not None:
+            places.append(tail[:2])
+            texts.append(tail[2])
+        file = group.column("file")[0].as_py()
+        made = _judge(pa.array(texts, pa.string()), np.zeros(len(texts), dtype=bool))
+        return pa.Table.from_batches([_scanned(file, [places[i][0] for i in made[0]], [places[i][1] for i in made[0]], *made[1:])])
+
+    borders = scanned.where("kind <> 'whole'").groupBy("file").applyInArrow(stitch, _SCANNED_DDL)
+    return whole.unionByName(borders).drop("kind")
+
+
+def _scanned(file: str, block: list, k: list, name: pa.Array, seq: pa.Array, qual: pa.Array, reason: pa.Array, text: pa.Array, kind: str = "whole") -> pa.RecordBatch:
+    n = len(name)
+    return pa.record_batch([pa.array([file] * n, pa.string()), pa.array(block, pa.int64()), pa.array(k, pa.int64()), pa.array([kind] * n, pa.string()), name, seq, qual, reason, text], schema=_SCANNED)
+
+
+def _judge(texts: pa.Array, first: np.ndarray) -> tuple:
+    """(row numbers, names, sequences, qualities, reasons, texts) of pieces of text, each without its leading ``@`` (save
+    those marked ``first``, the first of a file). Lines past the fourth come out as a row of their own."""
+    bare = pc.utf8_rtrim(pc.replace_substring(texts, "\r\n", "\n"), "\r\n")
+    lines = pc.split_pattern(bare, "\n")
+    size = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    flat = lines.flatten()
+    line = lambda j: flat.take(pa.array(np.where(size > j, start + j, 0), mask=size <= j))
+    name, seq, plus, qual = (line(j) for j in range(4))
+    marked = pc.or_(pa.array(~first), pc.starts_with(name, "@"))
+    name = pc.if_else(pa.array(first), pc.utf8_ltrim(name, "@"), name) if first.any() else name
+    reason = fastq_failure(name, seq, plus, qual, marked)
+    # fewer than four lines are told apart first
+    short = pc.binary_join_element_wise(pa.array(size.astype(str)), pa.scalar("lines instead of 4"), " ")
+    reason = pc.if_else(pa.array(size < 4), short, reason)
+    good = pc.is_null(reason)
+    keep = lambda column: pc.if_else(good, column, pa.scalar(None, pa.string()))
+    out = [pa.array(np.arange(len(texts))), keep(name), keep(seq), keep(qual), reason, pc.if_else(good, pa.scalar(None, pa.string()), bare)]
+    over = np.flatnonzero((size > 4) & good.to_numpy(zero_copy_only=False))
+    if len(over):
+        rest = [t.split("\n", 4)[4] for t in bare.take(pa.array(over)).to_pylist()]
+        none = pa.nulls(len(over), pa.string())
+        more = [pa.array(over), none, none, none, pa.array(["lines outside a record"] * len(over)), pa.array(rest, pa.string())]
+        out = [pa.concat_arrays([a.cast(b.type), b]) for a, b in zip(out, more)]
+    return out[0].to_numpy(zero_copy_only=False), *out[1:]
+
+
+_RECORD = r"\A[^\n]+\n[ACGTNacgtn]+\n\+[^\n]*\n[!-J]+(\n|\z)"
+
+
+def _goes_on(before: pa.Array, after: pa.Array) -> np.ndarray:
+    """Whether each piece ``after`` begins with the quality line of the three-line piece ``before`` it: it is a line of its own, or
+    no record and its first line is as long as the sequence."""
+    size = lambda text, k: pc.utf8_length(pc.list_element(pc.split_pattern(text, "\n", max_splits=3), k)).to_numpy()
+    plain = lambda text: pc.utf8_rtrim(pc.replace_substring(text, "\r\n", "\n"), "\r\n")
+    before, after = plain(before), plain(after)
+    alone = pc.invert(pc.match_substring(after, "\n")).to_numpy(zero_copy_only=False)
+    fits = (size(after, 0) + 1 == size(before, 1)) & ~pc.match_substring_regex(after, _RECORD).to_numpy(zero_copy_only=False)
+    return alone | fits
+
+
+def _scan_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records and rejects of whole pieces; the first piece of a split (kind ``start``, with its text only if it may be a
+    rest of the split before) and a last one that may go on in the next split (kind ``tail``)."""
+    at, held, k = None, None, 0  # a held piece has three lines and waits for a quality line
+
+    def last() -> Iterator[pa.RecordBatch]:
+        if held is not None:
+            none = pa.nulls(1, pa.string())
+            yield _scanned(at[0], [at[1]], [k], none, none, none, none, pa.array([held], pa.string()), "tail")
 
     for batch in batches:
-        out: list[tuple] = []
-        for file, block, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if (file, block) != at:
-                if last is not None:
-                    out.append((*at, False, last, None, None, None))
-                at, last, fresh = (file, block), None, True
-            # a record has its sequence and a third line; a lone rest of a quality line at the start belongs to the split before
-            if fresh and last is None and "\n" not in text.rstrip("\r\n") and _record(text) is None:
-                out.append((*at, True, text, None, None, None))
+        files, blocks = batch.column(0), batch.column(1).to_numpy()
+        code = files.dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(blocks) != 0)) + 1
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if low == high:
                 continue
-            fresh = False
-            last = text if last is None else f"{last}\n@{text}"
-            if (record := _record(last)) is not None:
-                out.append((*at, False, None, *record))
-                last = None
-        yield emit(out)
-    if last is not None:
-        yield emit([(*at, False, last, None, None, None)])
+            where, texts, fresh = (files[int(low)].as_py(), int(blocks[low])), batch.column(2).slice(low, high - low).cast(pa.string()), False
+            if where != at:
+                yield from last()
+                at, held, k, fresh = where, None, 0, True
+            if held is not None:
+                texts, held = pa.concat_arrays([pa.array([held], pa.string()), texts]), None
+            n_lines = pc.add(pc.count_substring(pc.utf8_rtrim(texts, "\r\n"), "\n"), 1).to_numpy()
+            none = pa.nulls(1, pa.string())
+            if fresh and where[1] > 0:
+                alone = not pc.match_substring_regex(pc.replace_substring(texts.slice(0, 1), "\r\n", "\n"), _RECORD)[0].as_py() and n_lines[0] != 3
+                yield _scanned(at[0], [at[1]], [k], none, none, none, none, pa.array([texts[0].as_py() if alone else None], pa.string()), "start")
+                if alone:
+                    texts, n_lines, k = texts.slice(1), n_lines[1:], k + 1
+            if not len(texts):
+                continue
+            if n_lines[-1] == 3 and not (len(texts) > 1 and n_lines[-2] == 3 and _goes_on(texts.slice(len(texts) - 2, 1), texts.slice(len(texts) - 1))[0]):
+                held = texts[len(texts) - 1].as_py()
+                texts, n_lines = texts.slice(0, len(texts) - 1), n_lines[:-1]
+                if not len(texts):
+                    continue
+            ends = np.flatnonzero(n_lines[:-1] == 3) + 1
+            if len(ends):
+                ends = ends[_goes_on(texts.take(pa.array(ends - 1)), texts.take(pa.array(ends)))]
+                ends = np.array([e for k, e in enumerate(ends) if not k or ends[k - 1] != e - 1], dtype=np.int64)
+            if len(ends):
+                joined = pc.binary_join_element_wise(texts.take(pa.array(ends - 1)), texts.take(pa.array(ends)), "\n@")
+                every = pa.concat_arrays([texts, joined])
+                order = np.arange(len(texts))
+                order[ends - 1] = len(texts) + np.arange(len(ends))
+                texts = every.take(pa.array(np.delete(order, ends)))
+            first = np.zeros(len(texts), dtype=bool)
+            first[0] = fresh and where[1] == 0
+            row, *made = _judge(texts, first)
+            yield _scanned(at[0], [at[1]] * len(row), k + row, *made)
+            k += len(texts)
+    yield from last()
+
+
+def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, name, seq, qual`` of the valid records of FASTQ files; ``scan_fastq`` gives the others with their reasons."""
+    return scan_fastq(spark, paths).where("reason is null").select("file", "name", "seq", "qual")
+
+
+def numbered_records(scanned: DataFrame) -> DataFrame:
+    """``file, ordinal, name, seq, qual, reason`` of ``scan_fastq``: records of each file numbered from 0 in order. Bad records
+    have a number, so that those after them keep theirs; damaged text takes as many as a quarter of its lines, rounded. (Where
+    damage lies side by side that can be off by one: match such files by name.)
+
+    Rows are numbered inside their block and offset by the blocks before (a row for each split)."""
+    outside = F.col("reason") == "lines outside a record"
+    lines = F.round(F.size(F.split("text", "\n")) / 4).cast("bigint")
+    rows = scanned.withColumn("n", F.when(outside, lines).when(F.col("text").isNotNull(), F.greatest(lines, F.lit(1))).otherwise(1))
+    inner = rows.withColumn("upto", F.sum("n").over(Window.partitionBy("file", "block").orderBy("k", F.coalesce(outside, F.lit(False)))))
+    sizes = rows.groupBy("file", "block").agg(F.sum("n").alias("total"))
+    before = sizes.select("file", "block", F.coalesce(F.sum("total").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return inner.where("n > 0").join(before, ["file", "block"]).select("file", (F.col("before") + F.col("upto") - F.col("n")).alias("ordinal"), "name", "seq", "qual", "reason")
+
+
+def read_fastq_pairs(spark: SparkSession, first: str | list[str], second: str | list[str], key: str | None = None, by_name: bool = False) -> DataFrame:
+    """``pair_file, ordinal, name, seq, qual, seq2, qual2``: the mates of two sets of files by their place in the file, or with
+    ``by_name`` by their name up to a blank or ``/1``. A pair of which either record is bad is left out; the others keep their partners.
+
+    Files belong together by the text that ``key`` (a regular expression with one group) finds in their path; by default by their
+    name with ``_R1_`` and ``_R2_`` (or ``_1.``, ``_2.``) taken out."""
+    own = F.regexp_extract("file", key, 1) if key else F.regexp_replace(F.regexp_extract("file", r"([^/]+)$", 1), r"_R?[12](?=[_.])", "")
+    bare = F.regexp_replace("name", r"(/[12])?([ \t].*)?$", "")
+    a = numbered_records(scan_fastq(spark, first)).where("reason is null").select(own.alias("pair_file"), "ordinal", bare.alias("mate"), "name", "seq", "qual")
+    b = numbered_records(scan_fastq(spark, second)).where("reason is null").select(own.alias("pair_file"), "ordinal", bare.alias("mate"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2"))
+    drop, on = ("ordinal", "mate") if by_name else ("mate", "ordinal")
+    return a.join(b.drop(drop), ["pair_file", on]).select("pair_file", "ordinal", "name", "seq", "qual", "seq2", "qual2")
+
+
+def record_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, records``: the lines of each file divided by four, as ``read_fastq`` need not be run for it."""
+    lines = spark.read.text([paths] if isinstance(paths, str) else paths).select(F.col("_metadata.file_path").alias("file"))
+    return lines.groupBy("file").agg(F.floor(F.count(F.lit(1)) / 4).alias("records"))
+
+
+def estimate_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, estimate``: how many records each file holds, judged by its first block: its lines over four, times the file's
+    size over the block's. Exact for files of one block and for gzipped ones."""
+    lines = spark.read.text([paths] if isinstance(paths, str) else paths).where("_metadata.file_block_start = 0")
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_length").alias("block"))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("block").alias("block")).select("file", F.floor(F.col("n") / 4 * F.col("size") / F.greatest("block", F.lit(1))).alias("estimate"))
+
+
+def name_from_path(path: Column, separator: str = "_", fields: list[int] | None = None) -> Column:
+    """A sample's name from a file's path: without its folder and endings, and of its parts at ``separator`` those numbered in ``fields`` (all by default)."""
+    ends = "|".join(re.escape(e) for e in _ENDINGS)
+    name = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), f"({ends})$", "")
+    if fields is None:
+        return name
+    parts = F.split(name, re.escape(separator))
+    return F.array_join(F.array(*[F.get(parts, F.lit(k)) for k in fields]), separator)
 
 
 def sample_names(paths: list[str], paired: bool = False) -> dict[str, tuple[str, ...]]:
