@@ -46,7 +46,7 @@ def _filled(spark, d):
 
 
 def p5_found(spark, d):
-    return filled_cells(*_filled(spark, d))
+    return filled_cells(*_filled(spark, d)).select("metric", "snp_id", "sample").distinct()
 
 
 def p5_genotypes(spark, d):
@@ -63,7 +63,45 @@ _PLAIN = "regexp_replace(sample, '-technical-replicate-.*$', '')"
 _DEEP = """select sample, cluster_id, sum(coalesce(size, 0)) depth from
            (select sample, cluster_id, hit_rank, max(size) size from clusters where sample is not null group by all) group by all"""
 
+_PEOPLE = """
+        m as (select distinct sample, case when regexp_full_match(pop, 'pop_[a-l]') then pop end pop, site, case when elev_m between 0 and 4500 then elev_m end elev_m, plate from imap),
+        d1 as (select site, if(min(pop) = max(pop), min(pop), null) fd1, count(*) n from m where site is not null and pop is not null group by 1),
+        d2 as (select plate, if(min(pop) = max(pop), min(pop), null) fd2, count(*) n from m where plate is not null and pop is not null group by 1),
+        d3 as (select site, plate, if(min(pop) = max(pop), min(pop), null) fd3, count(*) n from m where site is not null and plate is not null and pop is not null group by 1, 2),
+        v as (select coalesce((select sum(n) filter (where fd1 is null) / sum(n) from d1 where n > 1), if((select count(*) from d1 where n > 1) > 0, 0, 1)) s1, coalesce((select sum(n) filter (where fd2 is null) / sum(n) from d2 where n > 1), if((select count(*) from d2 where n > 1) > 0, 0, 1)) s2,
+          coalesce((select sum(n) filter (where fd3 is null) / sum(n) from d3 where n > 1), if((select count(*) from d3 where n > 1) > 0, 0, 1)) s3),
+        sm as (select site, pop site_pop from (select site, pop, count(*) n from m where pop is not null group by 1, 2) qualify row_number() over (partition by site order by n desc, pop) = 1),
+        am as (select pop any_pop from (select pop, count(*) n from m where pop is not null group by 1) order by n desc, pop limit 1),
+        j as (select m.*, if(s1 <= 0.02, fd1, null) f1, if(s2 <= 0.02, fd2, null) f2, if(s3 <= 0.02, fd3, null) f3, site_pop, any_pop from m cross join v left join am on true left join d1 using (site) left join d2 using (plate) left join d3 on d3.site = m.site and d3.plate = m.plate left join sm on sm.site = m.site),
+        k as (select sample, coalesce(pop, f1, f2, f3, site_pop, any_pop) pop, site, elev_m e, plate, pop is null pop_missing,
+          case when pop is null then case when f1 is not null then 'dependency site -> pop' when f2 is not null then 'dependency plate -> pop' when f3 is not null then 'dependency site+plate -> pop' when site_pop is not null then 'site' when any_pop is not null then 'all' else 'unfilled' end end pop_source from j),
+        w as (select k.*, se, pe, ae from k left join (select site, avg(e) se from k group by 1) using (site) left join (select pop, avg(e) pe from k group by 1) using (pop) cross join (select avg(e) ae from k)),
+        people as (select sample, pop, site, coalesce(e, se, pe, ae) elev_m, plate, pop_missing, pop_source, e is null elev_missing, case when e is null then case when se is not null then 'site' when pe is not null then 'pop' when ae is not null then 'all' else 'unfilled' end end elev_source from w)"""
+#: cells as lists that order as their versions do, and the statistics of each site by kind and key
+_CELLS = _PEOPLE + """,
+        x as (select snp_id, sample, if(a0 between 0 and 3 and a1 between 0 and 3, a0, null) a0, if(a0 between 0 and 3 and a1 between 0 and 3, a1, null) a1, if(regexp_full_match(base, '[ACGTRKSYWM]'), ascii(base), null) base, if(depth >= 0, depth, null) depth from genos),
+        y as (select snp_id, sample, max([(a0 is not null)::int + (base is not null)::int + (depth is not null)::int, coalesce(least(a0, a1) * 4 + greatest(a0, a1) + 1, 0), coalesce(a0 + 1, 0), coalesce(a1 + 1, 0), coalesce(base + 1, 0), coalesce(depth + 1, 0)]) l from x group by 1, 2),
+        c as (select y.snp_id, y.sample, p.pop, locus, nullif(l[2], 0) - 1 call, nullif(l[3], 0) - 1 a0, nullif(l[4], 0) - 1 a1, nullif(l[5], 0) - 1 base, nullif(l[6], 0) - 1 depth from y left join (select sample, min(pop) pop from people group by 1) p using (sample) left join (select snp_id, min(locus) locus from snp_sites group by 1) s using (snp_id)),
+        f as (select snp_id, 'sc' kind, '' key, call value from c union all select snp_id, 'sb', '', base from c union all select snp_id, 'pc', pop, call from c union all select snp_id, 'pb', pop, base from c union all select snp_id, 'bc', base::varchar, call from c union all select snp_id, 'cb', call::varchar, base from c),
+        fn as (select snp_id, kind, key, value, count(*) n from f where key is not null and value is not null group by all),
+        st as (select snp_id, kind, key, first(value order by n desc, value) value, sum(n) support, count(*) = 1 one from fn group by all),
+        vi as (select kind, sum(support) filter (where not one) / sum(support) share from st where support > 1 group by 1),
+        dm as (select snp_id, 'sd' kind, '' key, quantile_disc(depth, 0.5) value from c where depth is not null group by 1 union all select snp_id, 'pd', pop, quantile_disc(depth, 0.5) from c where depth is not null and pop is not null group by 1, 3),
+        lc as (select locus, first(call order by n desc, call) locus_call from (select locus, call, count(*) n from c where call is not null group by 1, 2) group by 1),
+        sd as (select sample, quantile_disc(depth, 0.5) sample_depth from c where depth is not null group by 1),
+        ab as (select first(base order by n desc, chr(base)) any_base from (select base, count(*) n from c where base is not null group by 1)),
+        z as (select c.*, (select coalesce(max(share), 0) <= 0.02 from vi where kind = 'bc') vbc, (select coalesce(max(share), 0) <= 0.02 from vi where kind = 'cb') vcb, bc.value fbc, cb.value fcb, pc.value fpc, pb.value fpb, sc.value fsc, sb.value fsb, pd.value fpd, xd.value fsd, locus_call, sample_depth, any_base, (select cast(floor(quantile_cont(depth, 0.5)) as int) from c) any_depth from c
+          left join st bc on bc.snp_id = c.snp_id and bc.kind = 'bc' and bc.key = c.base::varchar and bc.one left join st cb on cb.snp_id = c.snp_id and cb.kind = 'cb' and cb.key = c.call::varchar and cb.one
+          left join st pc on pc.snp_id = c.snp_id and pc.kind = 'pc' and pc.key = c.pop left join st pb on pb.snp_id = c.snp_id and pb.kind = 'pb' and pb.key = c.pop left join st sc on sc.snp_id = c.snp_id and sc.kind = 'sc' left join st sb on sb.snp_id = c.snp_id and sb.kind = 'sb'
+          left join dm pd on pd.snp_id = c.snp_id and pd.kind = 'pd' and pd.key = c.pop left join dm xd on xd.snp_id = c.snp_id and xd.kind = 'sd' left join lc on lc.locus = c.locus left join sd on sd.sample = c.sample cross join ab),
+        q as (select *, coalesce(call, if(vbc, fbc, null), fpc, fsc, locus_call, 0) g from z)"""
+
 ORACLE_SQL = {
+    "p5_populations": f"with {_PEOPLE} select * from people",
+    "p5_genotypes": f"""with {_CELLS} select snp_id, sample, cast(coalesce(a0, g // 4) as int) a0, cast(coalesce(a1, g % 4) as int) a1, chr(cast(coalesce(base, if(vcb, fcb, null), fpb, fsb, any_base) as int)) base, cast(coalesce(depth, fpd, fsd, sample_depth, any_depth) as int) depth,
+        call is null geno_missing, case when call is null then case when vbc and fbc is not null then 'dependency snp_id+base -> genotype' when fpc is not null then 'site and population' when fsc is not null then 'site' when locus_call is not null then 'locus' else 'first allele' end end geno_source,
+        base is null base_missing, case when base is null then case when vcb and fcb is not null then 'dependency snp_id+genotype -> base' when fpb is not null then 'site and population' when fsb is not null then 'site' when any_base is not null then 'all' else 'unfilled' end end base_source,
+        depth is null depth_missing, case when depth is null then case when fpd is not null then 'site and population' when fsd is not null then 'site' when sample_depth is not null then 'sample' when any_depth is not null then 'all' else 'unfilled' end end depth_source from q""",
     "p3_found": f"""
         with r as (select {_PLAIN} sample, count(distinct read_id) n from raw_reads where sample is not null group by 1),
         c as (select sample, count(*) filter (where depth >= 6) n from ({_DEEP}) group by 1)

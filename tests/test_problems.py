@@ -130,3 +130,38 @@ def test_fill_empty(spark):
     genos = spark.createDataFrame([], "snp_id bigint, sample string, base string, a0 int, a1 int, depth int")
     sites = spark.createDataFrame([], "snp_id bigint, locus bigint, alleles array<string>")
     assert fill_genotypes(genos, sites, imap).count() == 0 and fill_population_map(imap).count() == 0
+
+
+def test_found_cells_need_the_fill(spark):
+    from oracle import SF
+
+    from stackloom.plans.problem_queries import p5_found
+
+    plan = p5_found(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dependency snp_id+base -> genotype" in plan and "locus_call" in plan and "sample_depth" in plan and "Aggregate" in plan
+
+
+def hidden_cells(spark, folder, share=20):
+    """Known cells of every kind hidden by turns, and how many of them each source filled rightly: {(metric, source): (n, right)}."""
+    from pyspark.sql import functions as F
+
+    genos, sites, imap = (spark.read.parquet(f"{folder}/{n}.parquet").distinct() for n in ("genos", "snp_sites", "imap"))
+    known = fill_genotypes(genos, sites, imap)
+    out = {}
+    for k, (metric, columns) in enumerate((("geno", ["a0", "a1"]), ("base", ["base"]), ("depth", ["depth"]))):
+        turn = F.pmod(F.xxhash64("snp_id", "sample", F.lit(k)), F.lit(share)) == 0
+        part = genos.select(*[F.when(turn, None).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in genos.columns])
+        truth = known.where(turn & ~F.col(f"{metric}_missing")).select("snp_id", "sample", *[F.col(c).alias(f"{c}_") for c in columns])
+        same = F.array_sort(F.array(*columns)) == F.array_sort(F.array(*[f"{c}_" for c in columns])) if metric != "depth" else F.abs(F.col("depth") - F.col("depth_")) <= 0.25 * F.col("depth_")
+        filled = fill_genotypes(part, sites, imap).join(truth, ["snp_id", "sample"]).groupBy(f"{metric}_source").agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("right"))
+        out |= {(metric, r[0]): (r["n"], r["right"]) for r in filled.collect()}
+    return out
+
+
+def test_hidden_cells_come_back(spark):
+    from oracle import SF
+
+    out = hidden_cells(spark, SF.replace("0.001", "0.01"))
+    print(out)
+    right = lambda metric, source: out[metric, source][1] / out[metric, source][0]
+    assert right("geno", "dependency snp_id+base -> genotype") > 0.95 and right("base", "dependency snp_id+genotype -> base") > 0.95
