@@ -1,62 +1,33 @@
 """Similarity clustering: greedy centroids over verified neighbours, and read mapping.
 
 Neighbours are all pairs of a scope within the threshold, from the exact
-similarity join of problem 1 (it compares both strands; where only one is
-wanted, exact edit distance on that strand decides); centroids are the
+similarity join; centroids are the
 lexicographically first independent set by rank, found in rounds that each end
 in the checkpoint folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.editdist import EncodedStrings, pair_distances
 from stackloom.functions.sequence import reverse_complement
+from stackloom.operators.similarity import similar_classes
 from stackloom.plans.durable import cut, python_tasks
 
 
-def candidate_pairs(records: DataFrame, k: int = 16, most: int = 1000, min_identity: float = 0.85) -> DataFrame:
-    """``scope, a, b, identity`` (a < b) of all pairs of records of a scope whose identity on either strand is at least ``min_identity``.
-
-    ``most`` bounds the records of a block, so that neither a hot scope nor a deep locus ends in one task. ``k`` is
-    accepted for callers of the earlier k-mer join and does nothing: the seeds' lengths follow from the threshold."""
-    from stackloom.llm.near_edits import similar_classes
-
-    classes = records.where("seq <> ''").select(F.lit("").alias("record_kind"), F.col("scope").alias("sample"), F.col("rec_id").alias("rep"), F.col("seq").alias("letters"))
-    found = similar_classes(classes, min_identity, most).select(F.col("sample").alias("scope"), F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), (1 - F.col("edits") / F.col("longer")).alias("identity"))
-    empty = records.where("seq = ''")
-    alike = empty.select("scope", F.col("rec_id").alias("a")).join(empty.select("scope", F.col("rec_id").alias("b")), "scope").where("a < b").select("scope", "a", "b", F.lit(1.0).alias("identity"))
-    return found.unionByName(alike)
-
-
-def verify_pairs(pairs: DataFrame, records: DataFrame, min_identity: float = 0.85) -> DataFrame:
-    """``scope, a, b, identity`` of the candidate pairs whose identity (1 - edits / longer length) is at least ``min_identity``."""
-    left = records.select("scope", F.col("rec_id").alias("a"), F.col("seq").alias("x"))
-    right = records.select("scope", F.col("rec_id").alias("b"), F.col("seq").alias("y"))
-    spread = pairs.repartition(python_tasks(pairs.sparkSession), "scope", "a")
-    joined = spread.join(left, ["scope", "a"]).join(right, ["scope", "b"]).select("scope", "a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            n = len(x)
-            if not n:
-                continue
-            enc = EncodedStrings(x + y)
-            longer = np.maximum(enc.lengths[:n], enc.lengths[n:])
-            d = pair_distances(enc, np.arange(n), np.arange(n, 2 * n), np.floor((1 - min_identity) * longer + 1e-9).astype(np.int64))
-            identity = 1 - d / np.maximum(longer, 1)
-            keep = pa.array(identity >= min_identity - 1e-12)
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(identity)], names=["scope", "a", "b", "identity"]).filter(keep)
+def similar_records(records: DataFrame, min_identity: float = 0.85, both_strands: bool = False, cell: int = 10_000) -> DataFrame:
+    """``scope, a, b, identity`` (a < b) of all pairs of ``records(scope, rec_id, seq)`` of a scope whose identity (1 - edits / longer
+    length) is at least ``min_identity``; with ``both_strands`` the better of both counts.
 
-    return joined.mapInArrow(run, "scope string, a bigint, b bigint, identity double")
+    ``cell`` bounds the records of a block, so that neither a hot scope nor a deep locus ends in one task. No pair is
+    lost, however many records are alike. Null and empty sequences are in no pair."""
+    classes = cut(records.where("seq <> ''").select(F.lit("").alias("record_kind"), F.col("scope").alias("sample"), F.col("rec_id").alias("rep"), F.col("seq").alias("letters")))
+    found = similar_classes(classes, min_identity, cell, both_strands)
+    return found.select(F.col("sample").alias("scope"), F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), (1 - F.col("edits") / F.col("longer")).alias("identity"))
 
 
 def greedy_centroids(records: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -86,12 +57,10 @@ def greedy_centroids(records: DataFrame, edges: DataFrame, max_rounds: int = 60)
     return state.join(choice, ["scope", "rec_id"], "left").select("scope", "rec_id", F.when(F.col("is_seed"), F.col("rec_id")).otherwise(F.col("seed")).alias("seed"))
 
 
-def cluster_sequences(records: DataFrame, min_identity: float = 0.85, both_strands: bool = False, k: int = 16) -> DataFrame:
+def cluster_sequences(records: DataFrame, min_identity: float = 0.85, both_strands: bool = False, cell: int = 10_000) -> DataFrame:
     """``scope, rec_id, seed`` for ``records(scope, rec_id, seq, rank)``. With ``both_strands`` sequences also match on the other strand."""
-    edges = candidate_pairs(records, k, min_identity=min_identity)
-    if not both_strands:
-        edges = verify_pairs(edges.select("scope", "a", "b"), records, min_identity)
-    return greedy_centroids(records, cut(edges))
+    kept = cut(records.select("scope", "rec_id", "seq", "rank"))
+    return greedy_centroids(kept, cut(similar_records(kept, min_identity, both_strands, cell)))
 
 
 #: reads of a cell

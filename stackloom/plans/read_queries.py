@@ -360,6 +360,18 @@ def _ranked(spark, d):
     return unique.select(F.col("sample").alias("scope"), F.xxhash64("sample", "seq").alias("rec_id"), "seq", rank.alias("rank"))
 
 
+@query(f"""with {_E}, u as (select distinct sample, upper(regexp_replace(seq, 'nnnn|-', '', 'g')) seq from e where sample is not null and length(regexp_replace(seq, 'nnnn|-', '', 'g')) > 0),
+  p as (select a.sample, least(a.seq, b.seq) a, greatest(a.seq, b.seq) b, levenshtein(a.seq, b.seq) d, greatest(length(a.seq), length(b.seq)) longer from u a join u b on a.sample = b.sample and a.seq < b.seq and abs(length(a.seq) - length(b.seq)) <= 0.15 * greatest(length(a.seq), length(b.seq)) + 1)
+  select sample, a, b, round(1 - d / longer::double, 6) "identity" from p where d <= floor(0.15::double * longer + 1e-9)""")
+def j05_similar_pairs(spark, d):
+    """The pairs among which centroids are chosen, of the same strand."""
+    unique = _ranked(spark, d)
+    seq = unique.select(F.col("scope").alias("sample"), "rec_id", "seq")
+    pairs = C.similar_records(unique).select(F.col("scope").alias("sample"), "a", "b", F.round("identity", 6).alias("identity"))
+    both = pairs.join(seq.select("sample", F.col("rec_id").alias("a"), F.col("seq").alias("x")), ["sample", "a"]).join(seq.select("sample", F.col("rec_id").alias("b"), F.col("seq").alias("y")), ["sample", "b"])
+    return both.select("sample", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "identity")
+
+
 @query()
 def j05_cluster_within(spark, d):
     return C.cluster_sequences(_ranked(spark, d))

@@ -147,7 +147,7 @@ def test_greedy_clusters_match_plain_greedy(spark):
                 s[rng.randrange(80)] = rng.choice("ACGT")
             seqs.append("".join(s))
     rows = [("x", k, s, k) for k, s in enumerate(seqs)]
-    out = {r["rec_id"]: r["seed"] for r in cluster_join.cluster_sequences(spark.createDataFrame(rows, "scope string, rec_id bigint, seq string, rank int"), k=12).collect()}
+    out = {r["rec_id"]: r["seed"] for r in cluster_join.cluster_sequences(spark.createDataFrame(rows, "scope string, rec_id bigint, seq string, rank int")).collect()}
     seeds, want = [], {}
     for k, s in enumerate(seqs):
         hit = next((x for x in seeds if 1 - plain_distance(s, seqs[x]) / 80 >= 0.85), None)
@@ -157,12 +157,6 @@ def test_greedy_clusters_match_plain_greedy(spark):
     assert out == want
 
 
-def test_candidates_of_a_shared_kmer_are_split(spark):
-    rows = [("x", k, "ACGTACGTACGTACGT" + f"{k:08b}".replace("0", "A").replace("1", "C") * 2) for k in range(60)]
-    pairs = cluster_join.candidate_pairs(spark.createDataFrame(rows, "scope string, rec_id bigint, seq string"), k=12, most=20)
-    assert pairs.count() > 0 and pairs.where("a >= b").count() == 0
-
-
 def test_settings_and_groups(spark):
     assert check({})["clust_threshold"] == 0.85
     back = formats.parse_params(sinks.params_text(DEFAULTS), list(DEFAULTS))
@@ -217,9 +211,9 @@ def plain_pairs(seqs, least=0.85):
     return set(zip(a[good].tolist(), b[good].tolist()))
 
 
-def verified_pairs(spark, seqs):
+def found_pairs(spark, seqs, cell=10_000):
     df = spark.createDataFrame([("x", k, s) for k, s in enumerate(seqs)], "scope string, rec_id bigint, seq string")
-    found = [(r["a"], r["b"]) for r in cluster_join.verify_pairs(cluster_join.candidate_pairs(df).select("scope", "a", "b"), df).collect()]
+    found = [(r["a"], r["b"]) for r in cluster_join.similar_records(df, cell=cell).collect()]
     assert len(found) == len(set(found))
     return set(found)
 
@@ -235,7 +229,7 @@ def test_a_deep_locus_keeps_all_its_pairs(spark):
         seqs["".join(s)] = None
     seqs = list(seqs)
     want = plain_pairs(seqs)
-    assert len(want) == 1100 * 1099 // 2 and verified_pairs(spark, seqs) == want
+    assert len(want) == 1100 * 1099 // 2 and found_pairs(spark, seqs, 400) == want
     rows = [("x", k, s, k) for k, s in enumerate(seqs)]
     out = cluster_join.cluster_sequences(spark.createDataFrame(rows, "scope string, rec_id bigint, seq string, rank int")).collect()
     assert len(out) == 1100 and {r["seed"] for r in out} == {0}
@@ -252,7 +246,24 @@ def test_pairs_near_the_threshold_need_no_shared_kmer(spark):
             other[at] = rng.choice([c for c in "ACGT" if c != base[at]])
         seqs += ["".join(base), "".join(other)]
     want = plain_pairs(seqs)
-    assert len(want) == 40 and verified_pairs(spark, seqs) == want
+    assert len(want) == 40 and found_pairs(spark, seqs) == want
+
+
+def test_long_records_go_the_same_way(spark):
+    """Long sequences among short ones, a third of the records one locus, cells of a few records."""
+    rng = random.Random(11)
+    seqs = []
+    for length in (590, 600, 640, 700, 1500, 80, 80):
+        base = [rng.choice("ACGT") for _ in range(length)]
+        for edits in (0, 3, length // 12, length // 8):
+            s = base.copy()
+            for _ in range(edits):
+                at = rng.randrange(len(s))
+                s[at : at + 1] = rng.choice([[], ["A"], [s[at], "C"]])
+            seqs.append("".join(s))
+    seqs = list(dict.fromkeys(seqs))
+    want = plain_pairs(seqs)
+    assert len(want) > 20 and found_pairs(spark, seqs) == want and found_pairs(spark, seqs, 12) == want
 
 
 def test_het_error_uses_deep_columns_all_patterns_and_all_samples(spark):
