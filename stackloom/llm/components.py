@@ -2,7 +2,10 @@
 
 Method: minimum labels are propagated across edges and shortened by pointer
 jumping (each node's label is replaced by the label of its label) until no
-label changes. A chain of n links then needs about log2(n) rounds. Every round is
+label changes. A chain of n links then needs about log2(n) rounds. After each round
+links are contracted to the labels of their ends: links inside a group and repeated ones go, so
+the rounds shrink with the number of groups that are left to join, and nodes are labelled
+once, at the end, through the chain of their labels. Every round is
 written to the checkpoint folder, so lineage stays short and a lost executor
 costs one round. All state is distributed: no links, labels or components
 reach the driver, only one count a round.
@@ -28,28 +31,38 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     its own, repeated edges count once, no edges give no rows, other columns
     are ignored."""
     clean = edges.where(F.col("scope").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("scope", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
-    links = cut(clean.select("scope", "src", "dst").union(clean.select("scope", "dst", "src")).distinct())
-    labels = cut(links.groupBy("scope", F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("scope", "node", F.least("node", "least").alias("label")))
+    links = cut(clean.select("scope", F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    known = None
     for _ in range(max_rounds):
-        # the smallest label among a node's neighbours
-        heard = (
-            links.join(labels.select("scope", F.col("node").alias("dst"), "label"), ["scope", "dst"])
-            .groupBy("scope", F.col("src").alias("node"))
-            .agg(F.min("label").alias("heard"))
-        )
-        lower = labels.join(heard, ["scope", "node"], "left").select("scope", "node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        # hooking: the old label's node takes the new one too, so whole trees move at once
-        hooks = lower.where("label < old").groupBy("scope", F.col("old").alias("node")).agg(F.min("label").alias("hook"))
-        hooked = lower.join(hooks, ["scope", "node"], "left").select("scope", "node", "old", F.least("label", "hook").alias("label"))
-        hooked = cut(hooked)
-        # pointer jumping: the label of the label
-        jump = hooked.select("scope", F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = hooked.join(jump, ["scope", "label"], "left").select("scope", "node", "old", F.least("label", "next").alias("label"))
-        now = cut(jumped)
-        changed = now.where("label <> old").limit(1).count()
-        labels = now.select("scope", "node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        # every node hooks onto the smallest of itself and its neighbours; labels only fall, so no two hook onto each other
+        ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("label")), F.struct(F.col("dst").alias("node"), F.col("dst").alias("label"))))
+        hooked = cut(links.select("scope", ends.alias("e")).select("scope", "e.*").groupBy("scope", "node").agg(F.min("label").alias("label")))
+        labels = _jumped(hooked)
+        # the nodes labelled so far take the label of their label
+        if known is None:
+            known = labels
+        else:
+            later = labels.select("scope", F.col("node").alias("label"), F.col("label").alias("next"))
+            known = cut(known.join(later, ["scope", "label"], "left").select("scope", "node", F.coalesce("next", "label").alias("label")))
+        # links between the labels of their ends; those inside a group are done with
+        at = lambda end: labels.select("scope", F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        joined = links.where("src <> dst").join(at("src"), ["scope", "src"]).join(at("dst"), ["scope", "dst"]).where("src_label <> dst_label")
+        links = cut(joined.select("scope", F.greatest("src_label", "dst_label").alias("src"), F.least("src_label", "dst_label").alias("dst")).distinct())
+        if not links.limit(1).count():
+            return known.withColumnRenamed("label", "component")
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+
+
+def _jumped(hooked: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``hooked(scope, node, label)`` with the label of the label until that is its own: chains of n labels take log2(n) rounds.
+    Only labels that are not roots yet are asked again."""
+    done, open_ = None, hooked
+    for _ in range(max_rounds):
+        step = open_.select("scope", F.col("node").alias("label"), F.col("label").alias("next"))
+        now = cut(open_.join(step, ["scope", "label"], "left").select("scope", "node", F.coalesce("next", "label").alias("label"), (F.coalesce("next", "label") != F.col("label")).alias("moved")))
+        if not now.where("moved").limit(1).count():
+            return now.drop("moved")
+        open_ = now.drop("moved")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
 
 

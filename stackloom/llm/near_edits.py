@@ -1,346 +1,21 @@
 """Problem 1: records that differ by small edits, found without comparing all pairs.
 
-Method: the generalised pigeonhole principle for edit distance. A record of
-length L may differ from a shorter or equal one by at most
-``t = floor((1 - min_identity) * L)`` edits. Its letters (two bits each) are
-grouped into contiguous partitions, because an insertion or deletion moves
-neighbouring letters together. Partition ``j`` gets a threshold ``t_j`` in
--1..3 with ``sum(t_j + 1) = t + 1``; by the pigeonhole principle some
-partition then holds at most ``t_j`` edits, and the edits left and right of it
-are bounded by the thresholds on each side, which bounds the shift at which
-it can lie. The thresholds are allocated per record by dynamic programming on
-candidate counts estimated from the letter-group frequencies of the block, so
-a partition that many records share gets a low threshold and a rare one a high
-threshold. A partition is probed through exact letter groups (one edit in a
-partition leaves one of its halves whole), the rest of the partition is tested
-for its threshold, and survivors are verified by exact edit distance. No step
-is approximate: every pair within the bound is found.
+Method: the generalised pigeonhole principle with unequal thresholds, allocated by dynamic programming on estimated candidate
+counts, probe and verify (``functions/pigeonhole``), laid out in bounded cells (``operators/similarity``). Letters of two bits
+each are the correlated bits that are grouped into partitions. No step is approximate: every pair within the bound is found.
 
-Work is laid out in bounded cells: a sample with many records is split by
-length band (records more than the bound apart in length never meet) and by
-hash into blocks, so neither a hot sample nor a large band ends in one task.
 Exact copies are collapsed before and expanded only where pairs are asked for.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.functions.editdist import EncodedStrings, long_distance, pair_distances
 from stackloom.llm.components import connected_components
+from stackloom.operators.similarity import similar_classes
 from stackloom.plans.durable import cut
 
-#: complements of the nucleotide letters (fixed values)
-COMPLEMENT = str.maketrans("ACGTRYSWKMBDHVN", "TGCAYRSWMKVHDBN")
-_TWO_BITS = np.array([{65: 0, 67: 1, 71: 2, 84: 3}.get(b, b & 3) for b in range(256)], dtype=np.uint32)
-_LONG = 600
-_CHUNK = 1 << 20
-
-
-# ---------------------------------------------------------------- one cell
-
-
-class _Codes:
-    """For each string and position: the 16 letters that follow and the 16
-    that precede, nearest letter in the lowest bits, two bits a letter."""
-
-    def __init__(self, strings: list[str]):
-        raw = [s.encode("latin-1", "replace") for s in strings]
-        self.n = len(raw)
-        self.length = np.array([len(r) for r in raw], dtype=np.int32)
-        self.width = int(self.length.max(initial=0))
-        letters = np.zeros((self.width, self.n), dtype=np.uint32)
-        inside = (np.arange(self.width)[None, :] < self.length[:, None])
-        flat = np.zeros((self.n, self.width), dtype=np.uint32)
-        flat[inside] = _TWO_BITS[np.frombuffer(b"".join(raw), dtype=np.uint8)]
-        letters[:] = flat.T
-        self.after = np.zeros((self.width + 1, self.n), dtype=np.uint32)
-        self.before = np.zeros((self.width + 1, self.n), dtype=np.uint32)
-        for y in range(self.width - 1, -1, -1):
-            self.after[y] = letters[y] | (self.after[y + 1] << np.uint32(2))
-        for y in range(self.width):
-            self.before[y + 1] = letters[y] | (self.before[y] << np.uint32(2))
-
-
-def _first_difference() -> np.ndarray:
-    """Number of equal letters at the low end, by the XOR of 8 letters."""
-    out = np.full(1 << 16, 8, dtype=np.uint8)
-    x = np.arange(1 << 16)
-    for k in range(7, -1, -1):
-        out[(x >> (2 * k)) & 3 != 0] = k
-    return out
-
-
-_EQUAL_RUN = _first_difference()
-
-
-def _within_one_edit(p: np.ndarray, t: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Whether the first ``r`` (at most 8) letters of ``p`` match a prefix of
-    ``t`` with at most one substitution, insertion or deletion."""
-    mask = (np.uint32(1) << (r * np.uint32(2))) - np.uint32(1)
-    p = p & mask
-    x = (p ^ t) & mask
-    run = _EQUAL_RUN[x].astype(np.uint32)
-    run = np.minimum(run, r)
-    done = run * np.uint32(2)
-    substituted = (x >> done) >> np.uint32(2) == 0
-    inserted = ((p ^ (t >> np.uint32(2))) & mask) >> done == 0
-    deleted = (((p >> np.uint32(2)) ^ t) & (mask >> np.uint32(2))) >> done == 0
-    return substituted | inserted | deleted
-
-
-def _frequencies(texts: _Codes, size: int) -> np.ndarray:
-    """Share of text positions at which each group of ``size`` letters starts,
-    by a fixed stride over positions; it only steers thresholds."""
-    mask = np.uint32((1 << 2 * size) - 1)
-    count = np.ones(1 << 2 * size)
-    for y in range(0, max(1, texts.width - size), 3):
-        count += np.bincount(texts.after[y][texts.length >= y + size] & mask, minlength=len(count))
-    return count / count.sum()
-
-
-def allocate(cost: np.ndarray, budget: np.ndarray) -> np.ndarray:
-    """Thresholds of least total cost. ``cost[n, m, c]`` is the estimated
-    candidates of partition m at threshold c - 1 (infinite: not allowed);
-    thresholds plus one sum to ``budget[n]``. Returns ``[n, m]``, -1..3."""
-    n, m, choices = cost.shape
-    top = int(budget.max(initial=0))
-    best = np.full((m + 1, top + 1, n), np.inf)
-    best[0, 0] = 0
-    taken = np.zeros((m, top + 1, n), dtype=np.int8)
-    for j in range(m):
-        for c in range(choices):
-            for b in range(c, top + 1):
-                now = best[j, b - c] + cost[:, j, c]
-                better = now < best[j + 1, b]
-                best[j + 1, b][better] = now[better]
-                taken[j, b][better] = c
-    out = np.empty((n, m), dtype=np.int64)
-    left, rows = budget.copy(), np.arange(n)
-    for j in range(m - 1, -1, -1):
-        c = taken[j, left, rows].astype(np.int64)
-        out[:, j] = c - 1
-        left = left - c
-    return out
-
-
-def _seeds(patterns: _Codes, texts: _Codes, bound: np.ndarray) -> dict[str, np.ndarray]:
-    """The exact letter groups to probe, for every pattern."""
-    n, length, units = patterns.n, patterns.length.astype(np.int64), bound + 1
-    m = int(((units + 1) // 2).max())
-    number = (units + 1) // 2
-    j = np.arange(m)[None, :]
-    edge = lambda u: np.minimum(u, units[:, None]) * length[:, None] // units[:, None]
-    start, end = edge(2 * j), edge(2 * j + 2)
-    size = end - start
-    rows = np.arange(n)[:, None]
-    shared = {k: _frequencies(texts, k) for k in (2, 3, 4, 5, 6)}
-
-    def rate(at: np.ndarray, want: np.ndarray) -> np.ndarray:
-        """Estimated share of texts that hold the group of ``want`` letters at ``at``."""
-        code, out = patterns.after[np.minimum(at, patterns.width), rows], np.ones(at.shape)
-        for k, f in shared.items():
-            hit = np.minimum(want, 6) == k
-            out[hit] = f[code[hit] & np.uint32((1 << 2 * k) - 1)]
-        return out
-
-    window = np.minimum(2 * j + 1, 2 * (number[:, None] - j) + 1) * 2.0 + 1
-    cost = np.full((n, m, 5), np.inf)
-    cost[:, :, 0] = 0
-    for c in (1, 2, 3, 4):
-        part = size // c
-        total = np.zeros(size.shape)
-        for k in range(c):
-            s0 = start + k * size // c
-            total += rate(s0, np.maximum(part, 0))
-        # above one edit survivors go straight to verification, which costs far more than a probe
-        cost[:, :, c] = np.where((part >= 1) & (size >= c), total * window * (1 if c < 3 else 30), np.inf)
-    cost[j >= number[:, None], 1:] = np.inf
-    t = allocate(cost, units)
-    cum = np.cumsum(t + 1, axis=1)
-    left_bound = cum - (t + 1) + t
-    right_bound = units[:, None] - (cum - (t + 1)) - 1
-    found: list[tuple] = []
-    for c in (1, 2, 3, 4):
-        who, which = np.nonzero(t == c - 1)
-        if not len(who):
-            continue
-        s, e = start[who, which], end[who, which]
-        for k in range(c):
-            a, b = s + k * (e - s) // c, s + (k + 1) * (e - s) // c
-            span = np.minimum(b - a, 6)
-            q = np.where(k == c - 1, b - span, a) if c > 1 else a
-            before, after = np.minimum(q - s, 8), np.minimum(e - q - span, 8)
-            found.append((who, q, span, before if c < 3 else before * 0, after if c < 3 else after * 0, np.full(len(who), c - 1), left_bound[who, which], right_bound[who, which]))
-    names = ("pattern", "start", "span", "before", "after", "edits", "left", "right")
-    return {k: np.concatenate(v) for k, v in zip(names, zip(*found))} if found else {k: np.zeros(0, dtype=np.int64) for k in names}
-
-
-def _probe(patterns: _Codes, texts: _Codes, pattern_of: np.ndarray, text_of: np.ndarray, rank: np.ndarray, bound: np.ndarray, scope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate (pattern variant, text variant) pairs."""
-    seeds = _seeds(patterns, texts, bound)
-    plen, tlen = patterns.length, texts.length
-    from_left = seeds["left"] <= seeds["right"]
-    kept: list[np.ndarray] = []
-    pattern_rank, text_rank = rank[pattern_of], rank[text_of]
-    pattern_scope, text_scope = scope[pattern_of], scope[text_of]
-    several = len(np.unique(scope)) > 1
-    for left in (True, False):
-        for span in np.unique(seeds["span"]):
-            pick = np.flatnonzero((from_left == left) & (seeds["span"] == span))
-            if not len(pick):
-                continue
-            sd = {k: v[pick] for k, v in seeds.items()}
-            place = sd["start"] if left else plen[sd["pattern"]] - sd["start"]
-            reach = sd["left"] if left else sd["right"]
-            order = np.argsort(place, kind="stable")
-            sd, place, reach = {k: v[order] for k, v in sd.items()}, place[order], reach[order]
-            code = patterns.after[sd["start"], sd["pattern"]] & np.uint32((1 << 2 * span) - 1)
-            far = int(reach.max())
-            for v in range(max(0, int(place[0]) - far), min(texts.width, int(place[-1]) + far) + 1):
-                lo, hi = np.searchsorted(place, [v - far, v + far + 1])
-                near = lo + np.flatnonzero(np.abs(place[lo:hi] - v) <= reach[lo:hi])
-                if not len(near):
-                    continue
-                if left:
-                    valid = np.flatnonzero(tlen >= v + span)
-                    at = np.full(len(valid), v)
-                else:
-                    valid = np.flatnonzero((tlen >= v) & (v >= span))
-                    at = tlen[valid] - v
-                if not len(valid):
-                    continue
-                own = (texts.after[at, valid] & np.uint32((1 << 2 * span) - 1)).astype(np.uint16)
-                by = np.argsort(own, kind="stable")
-                count = np.bincount(own, minlength=1 << 2 * int(span))
-                first = np.cumsum(count) - count
-                each = count[code[near]]
-                near, each = near[each > 0], each[each > 0]
-                ends = np.cumsum(each)
-                cuts = np.searchsorted(ends, np.arange(_CHUNK, (ends[-1] if len(ends) else 0) + _CHUNK, _CHUNK), side="left") + 1
-                low = 0
-                for cut in cuts:
-                    seed, some = near[low:cut], each[low:cut]
-                    low = cut
-                    if not len(seed):
-                        continue
-                    total = int(some.sum())
-                    sid = np.repeat(seed, some)
-                    within = np.arange(total) - np.repeat(np.cumsum(some) - some, some)
-                    which = by[np.repeat(first[code[seed]], some) + within]
-                    b = valid[which]
-                    a = sd["pattern"][sid]
-                    delta = tlen[b] - plen[a]
-                    ok = (delta <= 0) & (-delta <= bound[a])
-                    ok &= (delta < 0) | (text_rank[b] < pattern_rank[a])
-                    if several:
-                        ok &= text_scope[b] == pattern_scope[a]
-                    keep = np.flatnonzero(ok)
-                    a, b, sid, delta, y = a[keep], b[keep], sid[keep], delta[keep], at[which[keep]]
-                    shift = y - sd["start"][sid]
-                    rest = np.abs(delta - shift)
-                    keep = np.flatnonzero((np.abs(shift) <= sd["left"][sid]) & (rest <= sd["right"][sid]) & (np.abs(shift) + rest <= bound[a]))
-                    a, b, sid, y = a[keep], b[keep], sid[keep], y[keep]
-                    keep = _partition_holds(patterns, texts, sd, sid, a, b, y, int(span))
-                    kept.append(a[keep].astype(np.int64) * texts.n + b[keep])
-    keys = np.unique(np.concatenate(kept)) if kept else np.zeros(0, dtype=np.int64)
-    return keys // max(1, texts.n), keys % max(1, texts.n)
-
-
-def _partition_holds(patterns: _Codes, texts: _Codes, sd: dict, sid: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, span: int) -> np.ndarray:
-    """Which hits keep their partition within its threshold around the group."""
-    q, edits = sd["start"][sid], sd["edits"][sid]
-    after, before = sd["after"][sid].astype(np.uint32), sd["before"][sid].astype(np.uint32)
-    ok = np.ones(len(a), dtype=bool)
-    for need, side, p_at, t_at in ((after, "after", q + span, y + span), (before, "before", q, y)):
-        rows = np.flatnonzero(ok & (need > 0))
-        if not len(rows):
-            continue
-        r = need[rows]
-        p, t = getattr(patterns, side)[p_at[rows], a[rows]], getattr(texts, side)[t_at[rows], b[rows]]
-        one = edits[rows] > 0
-        same = (p ^ t) & ((np.uint32(1) << (r * np.uint32(2))) - np.uint32(1)) == 0
-        good = same.copy()
-        loose = np.flatnonzero(one & ~same)
-        good[loose] = _within_one_edit(p[loose], t[loose], r[loose])
-        ok[rows[~good]] = False
-    return np.flatnonzero(ok)
-
-
-def _orders(record: str) -> list[str]:
-    mates = record.split("|")
-    if len(mates) == 2 and mates[0] and mates[1] and mates[0] != mates[1]:
-        return [mates[0] + mates[1], mates[1] + mates[0]]
-    return ["".join(mates)]
-
-
-def match_cell(records: list[str], is_pattern: np.ndarray, is_text: np.ndarray, rank: np.ndarray, min_identity: float, scope: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All matches between patterns and texts of one cell as (pattern row,
-    text row, distance). Of a pair the longer record is the pattern; of equal
-    lengths the one of the higher ``rank``. Mates are joined by ``|``. Where a
-    cell holds several samples, ``scope`` numbers them and only records of one match."""
-    scope = np.zeros(len(records), dtype=np.int64) if scope is None else scope
-    share = 1 - min_identity
-    length = np.array([len(r) - (r.count("|") if "|" in r else 0) for r in records], dtype=np.int64)
-    bound = np.floor(share * length + 1e-9).astype(np.int64)
-    short = length <= _LONG
-    p_text, p_of, t_text, t_of = [], [], [], []
-    for i in np.flatnonzero(is_pattern & short):
-        for s in _orders(records[i]):
-            p_text.append(s)
-            p_of.append(i)
-    for i in np.flatnonzero(is_text & short):
-        for s in _orders(records[i]):
-            for v in dict.fromkeys((s, s.translate(COMPLEMENT)[::-1])):
-                t_text.append(v)
-                t_of.append(i)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if p_text and t_text:
-        p_of, t_of = np.array(p_of), np.array(t_of)
-        a, b = _probe(_Codes(p_text), _Codes(t_text), p_of, t_of, rank, bound[p_of], scope)
-        if len(a):
-            used_a, a = np.unique(a, return_inverse=True)
-            used_b, b = np.unique(b, return_inverse=True)
-            enc = EncodedStrings([p_text[k] for k in used_a] + [t_text[k] for k in used_b])
-            limit = bound[p_of[used_a]][a]
-            d = pair_distances(enc, a, b + len(used_a), limit)
-            good = d <= limit
-            out.append((p_of[used_a][a][good], t_of[used_b][b][good], d[good]))
-    long_p, long_t = np.flatnonzero(is_pattern & ~short), np.flatnonzero(is_text & (length > _LONG * min_identity))
-    for i in long_p:
-        for k in long_t:
-            gap = length[i] - length[k]
-            if scope[i] == scope[k] and 0 <= gap <= bound[i] and (gap or rank[k] < rank[i]):
-                best = min((long_distance(x, v) for x in _orders(records[i]) for y in _orders(records[k]) for v in {y, y.translate(COMPLEMENT)[::-1]} if _letters_agree(x, v, bound[i])), default=bound[i] + 1)
-                if best <= bound[i]:
-                    out.append((np.array([i]), np.array([k]), np.array([best])))
-    if not out:
-        z = np.zeros(0, dtype=np.int64)
-        return z, z, z
-    a, b, d = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((d, b, a))
-    a, b, d = a[order], b[order], d[order]
-    first = np.ones(len(a), dtype=bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[first], b[first], d[first]
-
-
-def _letters_agree(x: str, y: str, bound: int) -> bool:
-    """Letter counts of strings within ``bound`` edits differ by at most that."""
-    return sum(abs(x.count(c) - y.count(c)) for c in set(x) | set(y)) <= 2 * bound
-
-
-# ---------------------------------------------------------------- Spark side
-
-#: ratio of neighbouring length bands
-_BAND = 1.08
-
 
 def normalise_sequence(column):
     """Upper-cased letters without gaps; the mates of a pair joined by ``|``."""
@@ -351,83 +26,22 @@ def normalise_sequence(column):
 
 
 def distinct_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, classes) of ``records(record_kind, rec_id, sample, seq)``:
-    ``members(record_kind, rec_id, rep)`` and one class row for each different
-    sequence of a sample. Rows with a null or empty sequence or a null sample
-    are in neither."""
+    """(clean, classes) of ``records(record_kind, rec_id, sample, seq)``: ``clean(record_kind, sample, rec_id, letters)`` and,
+    written out, one row for each different sequence of a sample, ``classes(record_kind, sample, letters, rep, n)``, with its
+    smallest id and number of ids. Rows with a null or empty sequence or a null sample are in neither."""
     clean = (
         records.where(F.col("seq").isNotNull() & F.col("sample").isNotNull() & F.col("rec_id").isNotNull())
         .select("record_kind", "sample", F.col("rec_id").cast("bigint").alias("rec_id"), normalise_sequence(F.col("seq")).alias("letters"))
         .where(F.length(F.regexp_replace("letters", r"\|", "")) > 0)
         .distinct()
     )
-    classes = clean.groupBy("record_kind", "sample", "letters").agg(F.min("rec_id").alias("rep"))
-    members = clean.join(classes, ["record_kind", "sample", "letters"]).select("record_kind", "sample", "rec_id", "rep")
-    return members, classes
+    return clean, cut(clean.groupBy("record_kind", "sample", "letters").agg(F.min("rec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
 
 
-def similar_classes(classes: DataFrame, min_identity: float = 0.85, cell: int = 5000) -> DataFrame:
-    """Pairs of different sequences of one sample with an identity of at least
-    ``min_identity``: ``(record_kind, sample, rep_a, rep_b, edits, longer)``.
-
-    ``cell`` bounds the patterns of a task; a task holds at most about four
-    times as many texts."""
-    reach = math.ceil(math.log(1 / min_identity) / math.log(_BAND) - 1e-9)
-    size = F.length(F.regexp_replace("letters", r"\|", ""))
-    rows = cut(classes.select("record_kind", "sample", "rep", "letters", F.floor(F.log(size.cast("double")) / math.log(_BAND)).cast("int").alias("band")))
-    counts = rows.groupBy("record_kind", "sample", "band").agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy("record_kind", "sample").agg(F.sum("n").alias("total"))
-    tiny = cell // 6
-    bins = max(1, math.ceil((whole.where(F.col("total") <= tiny).agg(F.sum("total")).first()[0] or 0) / (cell // 3)))
-    # samples of few records share cells; others up to the size of a cell have one each
-    shared = F.when(F.col("total") <= tiny, F.pmod(F.xxhash64("record_kind", "sample"), F.lit(bins)))
-    sized = (
-        counts.join(whole, ["record_kind", "sample"])
-        .select("record_kind", "sample", "band", (F.col("total") <= cell).alias("small"), shared.cast("int").alias("bin"), F.ceil(F.col("n") / cell).cast("int").alias("blocks"))
-    )
-    # the blocks of each band that a text of this band must meet
-    meets = (
-        sized.select("record_kind", "sample", F.col("band").alias("p_band"), F.col("blocks").alias("p_blocks"), F.explode(F.sequence(F.col("band") - reach, F.col("band"))).alias("band"))
-        .groupBy("record_kind", "sample", "band")
-        .agg(F.collect_list(F.struct("p_band", "p_blocks")).alias("meets"))
-    )
-    layout = sized.join(meets, ["record_kind", "sample", "band"])
-    placed = rows.join(layout, ["record_kind", "sample", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    same = placed.where("small").select(F.when(F.col("bin").isNull(), F.concat_ws("/", "record_kind", "sample")).otherwise("").alias("cell"), F.coalesce("bin", F.lit(-1)).alias("bin"), "record_kind", "sample", F.lit(-1).alias("p_band"), F.lit(0).alias("p_block"), F.lit(0).alias("t_part"), F.lit(2).alias("role"), "rep", "letters")
-    large = placed.where("not small")
-    # a text keeps its block number as the part it lies in; a pattern goes to every part of its row of cells
-    own = [F.concat_ws("/", "record_kind", "sample").alias("cell"), F.lit(-1).alias("bin")]
-    texts = large.select("record_kind", "sample", "block", "rep", "letters", F.explode("meets").alias("m")).select(
-        *own, "record_kind", "sample", F.col("m.p_band").alias("p_band"), F.explode(F.sequence(F.lit(0), F.col("m.p_blocks") - 1)).alias("p_block"), F.col("block").alias("t_part"), F.lit(0).alias("role"), "rep", "letters"
-    )
-    parts = (
-        sized.select("record_kind", "sample", "blocks", F.explode(F.sequence(F.col("band"), F.col("band") + reach)).alias("band"))
-        .groupBy("record_kind", "sample", "band")
-        .agg(F.max("blocks").alias("parts"))
-    )
-    patterns = (
-        large.join(parts, ["record_kind", "sample", "band"])
-        .select(*own, "record_kind", "sample", F.col("band").alias("p_band"), F.col("block").alias("p_block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("t_part"), F.lit(1).alias("role"), "rep", "letters")
-    )
-    keys = ["cell", "bin", "p_band", "p_block", "t_part"]
-    spark = classes.sparkSession
-    tasks = max(64, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # a cell takes far more work than its bytes suggest, so partitions are fixed in number and not merged by size
-    cells = same.unionByName(texts).unionByName(patterns).repartition(tasks, *keys)
-    schema = "record_kind string, sample string, rep_a bigint, rep_b bigint, edits int, longer int"
-    kinds = pa.schema([("record_kind", pa.string()), ("sample", pa.string()), ("rep_a", pa.int64()), ("rep_b", pa.int64()), ("edits", pa.int32()), ("longer", pa.int32())])
-
-    def match(group: pa.Table) -> pa.Table:
-        letters = group.column("letters").to_pylist()
-        role, rank = group.column("role").to_numpy(), group.column("rep").to_numpy()
-        kind, sample = (group.column(c).combine_chunks() for c in ("record_kind", "sample"))
-        scope = pc.binary_join_element_wise(kind, sample, "/").dictionary_encode().indices.to_numpy()
-        a, b, d = match_cell(letters, role >= 1, role != 1, rank, min_identity, scope)
-        longer = np.array([len(letters[i].replace("|", "")) for i in a], dtype=np.int32)
-        at = pa.array(a)
-        return pa.table([kind.take(at), sample.take(at), pa.array(np.minimum(rank[a], rank[b])), pa.array(np.maximum(rank[a], rank[b])), pa.array(d.astype(np.int32)), pa.array(longer)], schema=kinds)
-
-    return cells.groupBy(*keys).applyInArrow(match, schema)
+def _copies(clean: DataFrame, classes: DataFrame) -> DataFrame:
+    """``record_kind, sample, rep, rec_id`` of the records that are not the first of their class; only classes of several are joined."""
+    several = classes.where("n > 1").select("record_kind", "sample", "letters", "rep")
+    return clean.join(several, ["record_kind", "sample", "letters"]).where("rec_id <> rep").select("record_kind", "sample", "rep", "rec_id")
 
 
 def similar_pairs(records: DataFrame, min_identity: float = 0.85) -> DataFrame:
@@ -437,13 +51,17 @@ def similar_pairs(records: DataFrame, min_identity: float = 0.85) -> DataFrame:
     ``records`` has ``record_kind, rec_id, sample, seq``; other columns are
     ignored. Null and empty sequences, null samples and null ids are in no
     pair; repeated rows count once; an empty table gives no rows."""
-    members, classes = distinct_records(records)
-    found = similar_classes(classes, min_identity)
-    left = members.select("record_kind", F.col("rep").alias("rep_a"), F.col("rec_id").alias("x"))
-    right = members.select("record_kind", F.col("rep").alias("rep_b"), F.col("rec_id").alias("y"))
-    between = found.join(left, ["record_kind", "rep_a"]).join(right, ["record_kind", "rep_b"])
-    copies = left.withColumnRenamed("rep_a", "rep_b").join(right, ["record_kind", "rep_b"]).where("x < y")
-    pairs = between.select("record_kind", "x", "y").unionByName(copies.select("record_kind", "x", "y"))
+    clean, classes = distinct_records(records)
+    found = cut(similar_classes(classes, min_identity).select("record_kind", "sample", "rep_a", "rep_b"))
+    copies = cut(_copies(clean, classes))
+    # pairs of first records, then those of their copies
+    for side in ("rep_a", "rep_b"):
+        more = found.join(copies.withColumnRenamed("rep", side), ["record_kind", "sample", side])
+        found = found.unionByName(more.drop(side).withColumnRenamed("rec_id", side))
+    # copies of each other: each with its first record, and with each later one
+    own = copies.select("record_kind", "sample", "rep", F.col("rec_id").alias("y"))
+    alike = own.select("record_kind", F.col("rep").alias("x"), "y").unionByName(own.join(copies.withColumnRenamed("rec_id", "x"), ["record_kind", "sample", "rep"]).where("x < y").select("record_kind", "x", "y"))
+    pairs = found.select("record_kind", F.col("rep_a").alias("x"), F.col("rep_b").alias("y")).unionByName(alike)
     return pairs.where("x <> y").select("record_kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -452,16 +70,14 @@ def similar_groups(records: DataFrame, min_identity: float = 0.85) -> DataFrame:
     group_id, links)``. ``group_id`` is the smallest id of the records joined
     by chains of matches; ``links`` counts matching classes of other
     sequences. Copies are not expanded into pairs."""
-    members, classes = distinct_records(records)
-    found = similar_classes(classes, min_identity).select("record_kind", "rep_a", "rep_b")
-    ends = found.select("record_kind", F.col("rep_a").alias("rep")).unionByName(found.select("record_kind", F.col("rep_b").alias("rep")))
-    links = ends.groupBy("record_kind", "rep").agg(F.count(F.lit(1)).alias("links"))
+    clean, classes = distinct_records(records)
+    found = cut(similar_classes(classes, min_identity).select("record_kind", "rep_a", "rep_b"))
+    links = found.select("record_kind", F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("record_kind", "rep").agg(F.count(F.lit(1)).alias("links"))
     groups = connected_components(found.select(F.col("record_kind").alias("scope"), F.col("rep_a").alias("src"), F.col("rep_b").alias("dst")))
     groups = groups.select(F.col("scope").alias("record_kind"), F.col("node").alias("rep"), F.col("component").alias("group"))
+    members = classes.select("record_kind", "rep", F.col("rep").alias("rec_id")).unionByName(_copies(clean, classes).select("record_kind", "rep", "rec_id"))
     return (
         members.join(links, ["record_kind", "rep"], "left")
         .join(groups, ["record_kind", "rep"], "left")
         .select("record_kind", "rec_id", F.coalesce("group", "rep").alias("group_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
     )
-
-

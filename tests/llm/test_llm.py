@@ -11,11 +11,12 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from oracle import SF, same  # noqa: E402
 
+from stackloom.functions.pigeonhole import COMPLEMENT, allocate, match_cell  # noqa: E402
 from stackloom.llm import queries as L  # noqa: E402
 from stackloom.llm.components import connected_components, consolidate_hits  # noqa: E402
 from stackloom.llm.heavy_hitters import Summary, frequent_items, top_items  # noqa: E402
 from stackloom.llm.mixing import mix_sources, mixture_report  # noqa: E402
-from stackloom.llm.near_edits import COMPLEMENT, allocate, match_cell, similar_groups, similar_pairs  # noqa: E402
+from stackloom.llm.near_edits import similar_groups, similar_pairs  # noqa: E402
 from stackloom.llm.reading import FEATURES, OrdinalModel, graded, reading_features, reading_levels, word_counts  # noqa: E402
 from stackloom.llm.tokenizer import VOCABULARY, Encoder, decode_documents, encode_documents, read_ranks  # noqa: E402
 
@@ -95,12 +96,14 @@ def test_pairs_against_brute_force(spark):
 
 def test_cells_and_bands_lose_nothing(spark):
     """Tiny cells split a sample by bands and blocks; the pairs stay the same."""
-    from stackloom.llm.near_edits import distinct_records, similar_classes
+    from stackloom.llm.near_edits import distinct_records
+    from stackloom.operators.similarity import similar_classes
 
     rng = random.Random(9)
     rows = [("edits", k, "a", s) for k, s in enumerate(x for _ in range(25) for x in family(rng, 4, rng.randrange(40, 110), 8))]
     df = spark.createDataFrame(rows, "record_kind string, rec_id bigint, sample string, seq string")
     _, classes = distinct_records(df)
+    classes = classes.drop("n")
     pick = lambda cell: {(r["rep_a"], r["rep_b"], r["edits"]) for r in similar_classes(classes, cell=cell).collect()}
     assert pick(10) == pick(5000) and len(pick(10)) > 20
 
