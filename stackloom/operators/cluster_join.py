@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.sequence import reverse_complement
 from stackloom.operators.similarity import similar_classes
-from stackloom.plans.durable import cut, python_tasks
+from stackloom.plans.durable import Rounds, cut, python_tasks
 
 
 def similar_records(records: DataFrame, min_identity: float = 0.85, both_strands: bool = False, cell: int = 10_000) -> DataFrame:
@@ -30,7 +30,7 @@ def similar_records(records: DataFrame, min_identity: float = 0.85, both_strands
     return found.select(F.col("sample").alias("scope"), F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), (1 - F.col("edits") / F.col("longer")).alias("identity"))
 
 
-def greedy_centroids(records: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def greedy_centroids(records: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``scope, rec_id, seed``: greedy clustering by ``rank`` (1 is best) along ``edges(scope, a, b)``.
 
     A record that no better-ranked seed reaches is a seed; others join the
@@ -42,12 +42,13 @@ def greedy_centroids(records: DataFrame, edges: DataFrame, max_rounds: int = 60)
     better = cut(
         both.distinct().join(ranks, ["scope", "rec_id"]).join(ranks.select("scope", F.col("rec_id").alias("other"), F.col("rank").alias("other_rank")), ["scope", "other"]).where("other_rank < rank").select("scope", "rec_id", "other", "other_rank")
     )
-    state = cut(ranks.select("scope", "rec_id", F.lit(None).cast("boolean").alias("is_seed")))
+    tables = Rounds(records.sparkSession, "centroids")
+    state = tables.write("state", ranks.select("scope", "rec_id", F.lit(None).cast("boolean").alias("is_seed")))
     for _ in range(max_rounds):
         seen = better.join(state.select("scope", F.col("rec_id").alias("other"), F.col("is_seed").alias("other_seed")), ["scope", "other"]).groupBy("scope", "rec_id").agg(F.bool_or("other_seed").alias("hit"), F.count_if(F.col("other_seed").isNull()).alias("open"))
         nxt = state.join(seen, ["scope", "rec_id"], "left")
         settled = F.when(F.col("is_seed").isNotNull(), F.col("is_seed")).when(F.col("hit"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = cut(nxt.select("scope", "rec_id", settled.alias("is_seed")))
+        state = tables.write("state", nxt.select("scope", "rec_id", settled.alias("is_seed")))
         if not state.where("is_seed is null").limit(1).count():
             break
     else:

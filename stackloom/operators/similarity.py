@@ -63,7 +63,7 @@ def similar_classes(classes: DataFrame, min_identity: float = 0.85, cell: int =
         .groupBy("record_kind", "sample", "band")
         .agg(F.max("blocks").alias("parts"))
     )
-    layout = cut(sized.join(meets, ["record_kind", "sample", "band"], "left").join(parts, ["record_kind", "sample", "band"]))
+    layout = sized.join(meets, ["record_kind", "sample", "band"], "left").join(parts, ["record_kind", "sample", "band"])
     # a sample's cells: one for all of its short records, or one for each pair of blocks
     n_cells = layout.agg(F.sum(F.when(F.col("small"), F.lit(0.2)).otherwise(F.col("blocks") * F.col("parts")))).first()[0] or 0
     placed = rows.join(layout, ["record_kind", "sample", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
