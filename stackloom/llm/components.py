@@ -1,8 +1,8 @@
 """Problem 6: pairwise matches consolidated into groups.
 
 Method: minimum labels are propagated across edges and shortened by pointer
-jumping (each node's label is replaced by the label of its label) until no
-label changes. A chain of n links then needs about log2(n) rounds. After each round
+jumping (each node's label is replaced by the label of its label, twice a round) until no
+label changes. After each round
 links are contracted to the labels of their ends: links inside a group and repeated ones go, so
 the rounds shrink with the number of groups that are left to join, and nodes are labelled
 once, at the end, through the chain of their labels. Every round is
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.plans.durable import cut
+from stackloom.plans.durable import Rounds
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -31,39 +31,35 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     its own, repeated edges count once, no edges give no rows, other columns
     are ignored."""
     clean = edges.where(F.col("scope").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull()).select("scope", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
-    links = cut(clean.select("scope", F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    known = None
-    for _ in range(max_rounds):
+    tables = Rounds(edges.sparkSession, "components")
+    links = tables.write("links", clean.select("scope", F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    labelled: list[DataFrame] = []
+    for k in range(max_rounds):
         # every node hooks onto the smallest of itself and its neighbours; labels only fall, so no two hook onto each other
         ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("label")), F.struct(F.col("dst").alias("node"), F.col("dst").alias("label"))))
-        hooked = cut(links.select("scope", ends.alias("e")).select("scope", "e.*").groupBy("scope", "node").agg(F.min("label").alias("label")))
-        labels = _jumped(hooked)
-        # the nodes labelled so far take the label of their label
-        if known is None:
-            known = labels
-        else:
-            later = labels.select("scope", F.col("node").alias("label"), F.col("label").alias("next"))
-            known = cut(known.join(later, ["scope", "label"], "left").select("scope", "node", F.coalesce("next", "label").alias("label")))
-        # links between the labels of their ends; those inside a group are done with
+        hooked = links.select("scope", ends.alias("e")).select("scope", "e.*").groupBy("scope", "node").agg(F.min("label").alias("label"))
+        # pointer jumping: the label of the label of the label; ``above`` is one more
+        upper = hooked.select("scope", F.col("node").alias("label"), F.col("label").alias("above"))
+        jumped = hooked.join(upper, ["scope", "label"])
+        for _ in range(2):
+            jumped = jumped.select("scope", "node", F.col("above").alias("label")).join(upper, ["scope", "label"])
+        labels = tables.write(f"labels{k}", jumped.select("scope", "node", "label", "above"))
+        labelled.append(labels.select("scope", "node", "label"))
+        # links between the labels of their ends, and from labels that are not their own; those inside a group are done with
         at = lambda end: labels.select("scope", F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-        joined = links.where("src <> dst").join(at("src"), ["scope", "src"]).join(at("dst"), ["scope", "dst"]).where("src_label <> dst_label")
-        links = cut(joined.select("scope", F.greatest("src_label", "dst_label").alias("src"), F.least("src_label", "dst_label").alias("dst")).distinct())
-        if not links.limit(1).count():
-            return known.withColumnRenamed("label", "component")
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
-
-
-def _jumped(hooked: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """``hooked(scope, node, label)`` with the label of the label until that is its own: chains of n labels take log2(n) rounds.
-    Only labels that are not roots yet are asked again."""
-    done, open_ = None, hooked
-    for _ in range(max_rounds):
-        step = open_.select("scope", F.col("node").alias("label"), F.col("label").alias("next"))
-        now = cut(open_.join(step, ["scope", "label"], "left").select("scope", "node", F.coalesce("next", "label").alias("label"), (F.coalesce("next", "label") != F.col("label")).alias("moved")))
-        if not now.where("moved").limit(1).count():
-            return now.drop("moved")
-        open_ = now.drop("moved")
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        between = links.where("src <> dst").join(at("src"), ["scope", "src"]).join(at("dst"), ["scope", "dst"]).where("src_label <> dst_label")
+        left = labels.where("label <> above").select("scope", F.col("label").alias("src"), F.col("above").alias("dst"))
+        links = tables.write("links", between.select("scope", F.greatest("src_label", "dst_label").alias("src"), F.least("src_label", "dst_label").alias("dst")).unionByName(left).distinct())
+        if not links.head(1):
+            tables.drop("links")
+            break
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    # a node's label, the label of that in the next round, and so on; later rounds have ever fewer nodes
+    known = labelled[0]
+    for later in labelled[1:]:
+        known = known.join(later.select("scope", F.col("node").alias("label"), F.col("label").alias("next")), ["scope", "label"], "left").select("scope", "node", F.coalesce("next", "label").alias("label"))
+    return known.withColumnRenamed("label", "component")
 
 
 def label_key(column):
