@@ -237,10 +237,58 @@ def test_mixture_reaches_its_shares(spark):
     report = {r["source"]: r for r in mixture_report(mixed, targets).collect()}
     for s, share in (("a", 0.3), ("b", 0.3), ("c", 0.35)):
         assert abs(report[s]["actual_share"] - share / 0.95) < 0.01
+        assert abs(report[s]["label_gap"]) < 0.01 and abs(report[s]["posterior_gap"]) < 0.02  # the words tell the sources apart
     assert report["gone"]["tokens"] == 0 and report["gone"]["actual_share"] == 0
     assert mix_sources(docs, targets.limit(0)).count() == 0 and mix_sources(docs.limit(0), targets).count() == 0
 
 
+def test_rates_come_to_rest_at_the_least_residual(spark):
+    """Against many plain projected steps from elsewhere: labels exact, posteriors as near as they get, within the caps."""
+    from stackloom.llm.mixing import _project, fit_rates
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        d = int(rng.choice(3, p=[0.6, 0.3, 0.1]))
+        p = rng.dirichlet(np.where(np.arange(3) == d, 2.0, 1.0))
+        rows.append((i, d, int(rng.integers(20, 400)), p.tolist()))
+    df = spark.createDataFrame(rows, "doc_id bigint, domain int, tokens bigint, posterior array<double>")
+    share, cap = np.array([0.3, 0.3, 0.4]), np.array([1.0, 2.0, 5.0])
+    rates, wanted = fit_rates(df, share, cap)
+    cells: dict = {}
+    for _, d, t, p in rows:
+        key = f"{d}" + "".join(str(int(x * 8 + 0.5)) for x in p)
+        own = cells.setdefault(key, [d, 0.0, np.zeros(3)])
+        own[1] += t
+        own[2] += t * np.array(p)
+    assert set(cells) == {c.replace(":", "") for c in rates}
+    keys = sorted(cells)
+    label, tokens, soft = np.array([cells[k][0] for k in keys]), np.array([cells[k][1] for k in keys]), np.array([cells[k][2] for k in keys])
+    rate = np.array([{c.replace(":", ""): v for c, v in rates.items()}[k] for k in keys])
+    assert np.allclose(np.bincount(label, tokens * rate), wanted, rtol=1e-6) and (rate >= 0).all() and (rate <= cap[label] + 1e-9).all()
+    start, size = (wanted / np.bincount(label, tokens))[label], wanted.sum()
+    loss = lambda r: 0.5 * (((r @ soft - wanted) / size) ** 2).sum() + 0.0025 * (tokens / size * (r - start) ** 2).sum()
+    other = _project(rng.random(len(keys)), label, tokens, cap[label], wanted)
+    for _ in range(4000):
+        other = _project(other - 0.9 * (soft / tokens[:, None] @ ((other @ soft - wanted) / size) + 0.005 * (other - start)), label, tokens, cap[label], wanted)
+    assert abs(loss(rate) - loss(other)) < 1e-7
+
+
+def test_classifier_on_held_out_documents(spark):
+    """Three of the sources hold copies of each other's patents; the others can be told apart."""
+    from stackloom.llm.mixing import domain_classifier, profile
+
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet").where("source is not null")
+    sources = ["mt_gateway", "norda_office", "old_scans", "plain_summaries", "selmar_office", "tavik_feed", "utility_notes"]
+    held = docs.where("doc_id % 5 = 0")
+    rows = profile(held, sources, *domain_classifier(docs.where("doc_id % 5 <> 0"), sources), VOCABULARY).collect()
+    guess, truth = np.array([int(np.argmax(r["posterior"])) for r in rows]), np.array([r["domain"] for r in rows])
+    apart = np.isin(truth, [0, 2, 3, 6])
+    largest = np.bincount(truth).max() / len(truth)
+    print("held-out accuracy", (guess == truth).mean(), "largest", largest, "of the four", (guess == truth)[apart].mean(), [round(float((guess == truth)[truth == k].mean()), 3) for k in range(7)])
+    assert (guess == truth).mean() > largest and (guess == truth)[apart].mean() > 0.4
+
+
 # ------------------------------------------------------------ problem 9
 
 
