@@ -142,10 +142,28 @@ def make_cigar(seq: Column) -> Column:
 
 def portable_draw(key: Column, seed: int) -> Column:
     """A seeded number below 2^31 - 1 for an integer key, by integer arithmetic that any engine repeats."""
-    mixed = F.pmod(key * F.lit(48271) + F.lit(seed * 40503 + 11), F.lit(2147483647))
+    mixed = F.pmod(F.pmod(key.cast("bigint"), F.lit(2147483647)) * F.lit(48271) + F.lit(seed * 40503 + 11), F.lit(2147483647))
     return F.pmod(mixed * F.lit(69621) + F.lit(seed), F.lit(2147483647))
 
 
+def text_number(text: Column) -> Column:
+    """A number below 2^28 for a text, from its digest, that any engine repeats."""
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint")
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """The logarithm of the number of ways to choose ``k`` of ``n``."""
+    least = F.least(k, n - k)
+    steps = F.when(least > 0, F.sequence(F.lit(1).cast("bigint"), least.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.ln((n - least + i) / i))
+
+
+def binomial_pmf(n: Column, k: Column, p: float) -> Column:
+    """The probability of ``k`` successes of ``n``, 0 where that cannot be."""
+    value = F.exp(log_choose(n, k) + k * F.ln(F.lit(p)) + (n - k) * F.ln(F.lit(1 - p)))
+    return F.when((k >= 0) & (k <= n), value).otherwise(0.0)
+
+
 def hill_numbers(shares: Column, order: float) -> Column:
     """The effective number of kinds of order 0, 1 or q from an array of shares; zero shares count for nothing."""
     held = F.filter(shares, lambda p: p > 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.functions.sequence import portable_draw, text_number
+
 
 def merge_intervals(intervals: DataFrame, gap: int = 0, part: int = 1 << 20) -> DataFrame:
     """``chrom, p0, p1, n``: overlapping or touching intervals of each chromosome (or within ``gap``) made one.
@@ -14,7 +16,12 @@ def merge_intervals(intervals: DataFrame, gap: int = 0, part: int = 1 << 20) ->
     most intervals is not ordered in one task."""
     counted = intervals.groupBy("chrom", "p0", "p1").agg(F.count(F.lit(1)).alias("n"))  # equal intervals once, so that the order is total
     first = _islands(counted.withColumn("part", F.floor(F.col("p0") / part)), ["chrom", "part"], gap)
-    return _islands(first, ["chrom"], gap)
+    # an island can only go on across ranges if it ends beyond its own range, or is begun within reach of one that does
+    first = first.withColumn("part", F.floor(F.col("p0") / part)).withColumn("crosses", F.floor((F.col("p1") + gap) / part) > F.col("part"))
+    reached = first.where("crosses").select("chrom", F.explode(F.sequence(F.col("part") + 1, F.floor((F.col("p1") + gap) / part))).alias("part"), (F.col("p1") + gap).alias("reach")).groupBy("chrom", "part").agg(F.max("reach").alias("reach"))
+    marked = first.join(reached, ["chrom", "part"], "left").withColumn("open", F.col("crosses") | F.coalesce(F.col("p0") <= F.col("reach"), F.lit(False)))
+    few = _islands(marked.where("open"), ["chrom"], gap)
+    return few.unionByName(marked.where("not open").select("chrom", "p0", "p1", "n"))
 
 
 def _islands(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
@@ -77,7 +84,7 @@ def consensus_reduce(cells: DataFrame, pops: DataFrame, seed: int = 42) -> DataF
     n = cells.where(~F.col("base").isin("N", "-")).join(pops, "sample").groupBy("locus", "pos", "pop", "base").agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("locus", "pos", "pop")
     upto, total = F.sum("n").over(own.orderBy("base")), F.sum("n").over(own)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "locus", "pos", "pop"), F.lit(1 << 30)) / float(1 << 30)
+    draw = portable_draw((F.pmod("locus", F.lit(2147483647)) * 7919 + F.col("pos")) * 1048583 + text_number(F.col("pop")), seed) / 2147483647.0
     placed = n.withColumn("upto", upto).withColumn("total", total).withColumn("draw", draw).where("draw * total < upto")
     return placed.groupBy("locus", "pos", "pop").agg(F.min_by("base", "upto").alias("base"))
 

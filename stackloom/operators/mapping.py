@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions.sequence import apply_cigar
@@ -73,3 +73,18 @@ def check_names(asked: DataFrame, known: DataFrame) -> DataFrame:
     """``sample, side``: names that only one of two tables has."""
     a, k = asked.select("sample").distinct(), known.select("sample").distinct()
     return a.join(k, "sample", "left_anti").withColumn("side", F.lit("unknown")).unionByName(k.join(a, "sample", "left_anti").withColumn("side", F.lit("unused")))
+
+
+def coordinate_sort(alignments: DataFrame, part: int = 1 << 20) -> DataFrame:
+    """``alignments`` (with ``chrom, pos, qname``) and their ``place`` on the chromosome, from 0, by position and name: ordered in ranges of ``part``
+    positions that are offset by the ranges before, so a hot chromosome is not ordered in one task."""
+    ranged = alignments.withColumn("part", F.floor(F.col("pos") / part))
+    sizes = ranged.groupBy("chrom", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("chrom", "part", F.coalesce(F.sum("n").over(Window.partitionBy("chrom").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inner = ranged.withColumn("k", F.row_number().over(Window.partitionBy("chrom", "part").orderBy("pos", "qname")) - 1)
+    return inner.join(before, ["chrom", "part"]).withColumn("place", F.col("k") + F.col("before")).drop("part", "k", "before")
+
+
+def scaffold_numbers(scaffolds: DataFrame) -> DataFrame:
+    """``scaffold, chrom``: scaffolds (``name, length``) numbered from 1, in the order of a genome's index: longest first, ties by name."""
+    return scaffolds.select(F.col("name").alias("scaffold"), F.row_number().over(Window.orderBy(F.desc("length"), "name")).alias("chrom"))  # the scaffolds of a genome

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.functions.sequence import canonical_strand, reverse_complement
+from stackloom.functions.sequence import canonical_strand, portable_draw, reverse_complement
 
 # ------------------------------------------------------------ barcodes
 
@@ -229,7 +229,7 @@ def digest(sequences: DataFrame, first: str, second: str | None = None, min_size
 
 def length_shuffle(reads: DataFrame, seed: int = 42) -> DataFrame:
     """Reads with the sort key of clustering: longest first, and a seeded order within a length."""
-    return reads.withColumn("order_key", F.struct((-F.length("seq")).alias("length"), F.xxhash64(F.lit(seed), F.col("read_id")).alias("draw")))
+    return reads.withColumn("order_key", F.struct((-F.length("seq")).alias("length"), portable_draw(F.col("read_id"), seed).alias("draw")))
 
 
 def collapse_ambiguity(seq: Column) -> Column:

@@ -40,15 +40,13 @@ def sample_groups(samples: DataFrame) -> DataFrame:
     return n.select("sample", F.floor((F.col("k") - 1) / F.ceil(F.col("n") / groups)).cast("int").alias("part"))
 
 
-def site_pattern_test(counts: dict[str, float]) -> dict[str, float]:
-    """Hils' H and gamma from the counts of site patterns ``aabb``, ``abba``, ``baba`` and ``sites``: f1 = aabb - baba,
+def site_pattern_test(counts: DataFrame) -> DataFrame:
+    """``f1, f2, h, gamma`` of rows ``aabb, abba, baba, sites``: Hils' H and gamma from counts of site patterns: f1 = aabb - baba,
     f2 = abba - baba, each over the sites; H compares f1 and f2 by their covariances, gamma = 1 - f1 / (f1 + f2)."""
-    n = max(1.0, counts["sites"])
-    a, b, c = (counts[k] / n for k in ("aabb", "abba", "baba"))
-    f1, f2 = a - c, b - c
-    v1, v2 = (a * (1 - a) + c * (1 - c) + 2 * a * c) / n, (b * (1 - b) + c * (1 - c) + 2 * b * c) / n
-    cov = (-a * b + a * c + b * c + c * (1 - c)) / n
-    ratio = f1 / f2 if f2 else 0.0
-    scale = v2 * ratio * ratio - 2 * cov * ratio + v1
-    h = f2 * (ratio - 1) / scale**0.5 if scale > 0 else 0.0
-    return {"f1": f1, "f2": f2, "h": h, "gamma": 1 - f1 / (f1 + f2) if f1 + f2 else 0.0}
+    n = F.greatest(F.col("sites").cast("double"), F.lit(1.0))
+    shares = counts.select(n.alias("n"), *[(F.col(k) / n).alias(x) for k, x in (("aabb", "a"), ("abba", "b"), ("baba", "c"))])
+    own = shares.selectExpr("n", "a - c f1", "b - c f2", "(a * (1 - a) + c * (1 - c) + 2 * a * c) / n v1", "(b * (1 - b) + c * (1 - c) + 2 * b * c) / n v2", "(-a * b + a * c + b * c + c * (1 - c)) / n cov")
+    ratio = own.withColumn("ratio", F.when(F.col("f2") != 0, F.col("f1") / F.col("f2")).otherwise(0.0)).withColumn("scale", F.expr("v2 * ratio * ratio - 2 * cov * ratio + v1"))
+    h = F.when(F.col("scale") > 0, F.col("f2") * (F.col("ratio") - 1) / F.sqrt("scale")).otherwise(0.0)
+    gamma = F.when(F.col("f1") + F.col("f2") != 0, 1 - F.col("f1") / (F.col("f1") + F.col("f2"))).otherwise(0.0)
+    return ratio.select(*[F.round(c, 6).alias(x) for c, x in ((F.col("f1"), "f1"), (F.col("f2"), "f2"), (h, "h"), (gamma, "gamma"))])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.functions.sequence import portable_draw
+from stackloom.functions.sequence import allele_of, code_of_pair, portable_draw, text_number
 
 _BASES = "^[ACGTRKSYWM]$"
 
@@ -284,12 +284,115 @@ def kmeans(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(made).transform(made).select("sample", F.col("prediction").alias("cluster"))
 
 
+def _cell_draw(seed: int) -> Column:
+    """A seeded number for each site and sample."""
+    return portable_draw(F.pmod(F.col("snp_id"), F.lit(2147483647)) * 1048583 + text_number(F.col("sample")), seed)
+
+
+def impute(calls: DataFrame, pops: DataFrame, method: str | None = "random", seed: int = 42) -> DataFrame:
+    """``snp_id, sample, g, imputed`` by one of the methods that PCA offers: ``sample`` draws from the population's frequencies,
+    ``random`` one of 0, 1 and 2 evenly, and None sets 0."""
+    if method == "sample":
+        return impute_sampled(calls, pops, seed)
+    known = F.when((F.col("a0") < 2) & (F.col("a1") < 2), _dosage())
+    drawn = F.pmod(_cell_draw(seed), F.lit(3)).cast("int") if method == "random" else F.lit(0)
+    return calls.select("snp_id", "sample", F.coalesce(known, drawn).alias("g"), known.isNull().alias("imputed"))
+
+
+def _as_calls(imputed: DataFrame) -> DataFrame:
+    """Imputed genotypes as calls of two alleles."""
+    return imputed.select("snp_id", "sample", F.floor(F.col("g") / 2).cast("int").alias("a0"), (F.col("g") - F.floor(F.col("g") / 2)).cast("int").alias("a1"))
+
+
+def unlinked_replicates(sites: DataFrame, replicates: int, seed: int = 42) -> DataFrame:
+    """``replicate, snp_id``: for each replicate one site of each locus, drawn anew."""
+    out = None
+    for k in range(replicates):
+        one = unlinked(sites, seed + k).select(F.lit(k).alias("replicate"), "snp_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def pca_replicates(calls: DataFrame, sites: DataFrame, replicates: int = 3, components: int = 4, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+    """(``replicate, sample, pc1..pcn``, explained shares of each): PCA of each replicate's unlinked sites. Axes that run against those of
+    the first replicate are turned."""
+    drawn, out, shares, first = unlinked_replicates(sites, replicates, seed), None, [], None
+    for k in range(replicates):
+        points, share = pca(calls.join(drawn.where(F.col("replicate") == k).select("snp_id"), "snp_id", "left_semi"), components)
+        names = [c for c in points.columns if c != "sample"]
+        rows = {r["sample"]: np.array([r[c] for c in names]) for r in points.collect()}  # the samples of the study
+        first = first or rows
+        both = [s for s in rows if s in first]
+        turn = [-1.0 if sum(rows[s][j] * first[s][j] for s in both if j < len(first[s])) < 0 else 1.0 for j in range(len(names))]
+        one = points.select(F.lit(k).alias("replicate"), "sample", *[(F.col(c) * t).alias(c) for c, t in zip(names, turn)])
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        shares.append(share)
+    return out, shares
+
+
+def impute_kmeans(calls: DataFrame, sites: DataFrame, k: int, topcov: float = 0.9, mincov: float = 0.5, rounds: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(``snp_id, sample, g, imputed``, ``sample, cluster``): missing genotypes drawn by clusters that are found by turns. Each round keeps
+    the sites that enough samples cover (from ``topcov`` down to ``mincov``), imputes by the clusters of the round before
+    (at first one of all), and clusters the samples by the components of unlinked sites."""
+    samples = calls.select("sample").distinct()
+    groups = samples.select("sample", F.lit("0").alias("pop"))
+    number = samples.count()
+    for step in range(rounds):
+        least = topcov + (mincov - topcov) * step / max(1, rounds - 1)
+        good = F.when((F.col("a0") < 2) & (F.col("a1") < 2), 1)
+        kept = calls.groupBy("snp_id").agg(F.count(good).alias("n")).where(F.col("n") >= least * number).select("snp_id")
+        part = impute_sampled(calls.join(kept, "snp_id", "left_semi"), groups, seed + step)
+        if step == rounds - 1:
+            return part, groups.select("sample", F.col("pop").alias("cluster"))
+        some = unlinked(sites.join(kept, "snp_id", "left_semi"), seed + step).select("snp_id")
+        points = pca(_as_calls(part.join(some, "snp_id", "left_semi")), min(4, max(1, number - 1)))[0]
+        made = kmeans(points, k, seed + step).collect()  # the samples of the study
+        groups = calls.sparkSession.createDataFrame([(r["sample"], str(r["cluster"])) for r in made], "sample string, pop string")
+
+
+def fill_bases(calls: DataFrame, sites: DataFrame) -> DataFrame:
+    """``snp_id, sample, letter``: the base or ambiguity code that a genotype stands for, N where it is missing or has no such allele."""
+    own = sites.select("snp_id", "alleles")
+    at = lambda c: F.get(F.col("alleles"), F.col(c))
+    return calls.join(own, "snp_id").select("snp_id", "sample", F.when(at("a0").isNotNull() & at("a1").isNotNull(), code_of_pair(at("a0"), at("a1"))).otherwise("N").alias("letter"))
+
+
+def masked_frequencies(calls: DataFrame, pops: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row for each site that every population covers and at which the populations but the last (the outgroup) are not all alike:
+    ``snp_id`` and the derived frequency of each in a column."""
+    wide = allele_frequency(calls, pops.where(F.col("pop").isin(list(names))), names).dropna()
+    return wide.where(reduce(lambda a, b: a | b, [F.col(n) != F.col(names[0]) for n in names[1:-1]], F.lit(False)))
+
+
+def locus_dstat(cells: DataFrame, pops: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row: ``dstat, abba, baba, n_sites, n_loci`` from the bases of loci (``locus, pos, sample, base``) of three populations and an outgroup.
+
+    The ancestral base of a site is the outgroup's most frequent one (the first letter of equals); a population's frequency is the share of its
+    alleles that are others. Sites that a population lacks or at which the first three are alike do not count."""
+    own = cells.join(pops.where(F.col("pop").isin(list(names))), "sample")
+    alleles = own.select("locus", "pos", "pop", F.explode(F.array(allele_of(F.col("base"), 0), allele_of(F.col("base"), 1))).alias("x")).where("x is not null")
+    counted = alleles.groupBy("locus", "pos", "pop", "x").agg(F.count(F.lit(1)).alias("n"))
+    ancestral = counted.where(F.col("pop") == names[-1]).groupBy("locus", "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), "x"))["x"].alias("anc"))
+    share = F.sum(F.when(F.col("x") != F.col("anc"), F.col("n")).otherwise(0)) / F.sum("n")
+    wide = counted.join(ancestral, ["locus", "pos"]).groupBy("locus", "pos").pivot("pop", list(names)).agg(share).dropna().toDF("locus", "pos", "f1", "f2", "f3", "f4")
+    kept = wide.where("f1 <> f2 or f1 <> f3")
+    abba, baba = F.sum(F.expr("(1 - f1) * f2 * f3 * (1 - f4)")), F.sum(F.expr("f1 * (1 - f2) * f3 * (1 - f4)"))
+    sums = kept.agg(abba.alias("a"), baba.alias("b"), F.count(F.lit(1)).alias("n_sites"), F.countDistinct("locus").alias("n_loci"))
+    return sums.select(F.round(F.try_divide(F.col("a") - F.col("b"), F.col("a") + F.col("b")), 6).alias("dstat"), F.round("a", 6).alias("abba"), F.round("b", 6).alias("baba"), "n_sites", "n_loci")
+
+
+def order_by_sharing(shared: DataFrame) -> DataFrame:
+    """``sample, mean_shared, place``: samples by the mean number of sites they share with others, from the most, ties by name."""
+    long = shared.select(F.explode(F.array("sample_a", "sample_b")).alias("sample"), "shared")
+    mean = long.groupBy("sample").agg(F.round(F.avg("shared"), 6).alias("mean_shared"))
+    return mean.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_shared"), "sample")))  # the samples of the study
+
+
 def impute_sampled(calls: DataFrame, pops: DataFrame, seed: int = 42) -> DataFrame:
     """``snp_id, sample, g, imputed``: missing genotypes drawn as two alleles of their population's derived frequency at the
     site (0 where the population has none), by a seeded number."""
     freq = allele_counts(calls, pops).select("snp_id", "pop", F.try_divide("der", F.col("anc") + F.col("der")).alias("f"))
-    who = F.pmod(F.xxhash64("sample"), F.lit(1 << 20))
-    draw = lambda k: portable_draw(F.col("snp_id") * 1048583 + who, seed + k) / 2147483647.0
+    draw = lambda k: _cell_draw(seed + k) / 2147483647.0
     drawn = (draw(1) < F.col("f")).cast("int") + (draw(2) < F.col("f")).cast("int")
     known = F.when((F.col("a0") < 2) & (F.col("a1") < 2), _dosage())
     joined = calls.join(pops, "sample", "left").join(freq, ["snp_id", "pop"], "left")

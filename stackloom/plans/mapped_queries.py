@@ -50,12 +50,12 @@ def m34_region_stacks(spark, d):
     return M.region_stacks(al, M.regions_of(al))
 
 
-@query("""with r as (select cluster_id, hit_rank, any_value(size) size, any_value(aligned_seq) seq from clusters group by 1, 2), s as (select distinct snp_id, locpos from snp_sites), p as (select s.snp_id, c.cluster_id, s.locpos pos from s join (select distinct cluster_id from r) c on c.cluster_id = s.snp_id)
+@query("""with r as (select cluster_id, hit_rank, any_value(size) size, any_value(aligned_seq) seq from clusters group by 1, 2), s as (select distinct snp_id, locpos from snp_sites), p as (select s.snp_id, c.cluster_id, s.locpos + s.snp_id % 7 - s.snp_id % 3 pos from s join (select distinct cluster_id from r) c on c.cluster_id = s.snp_id)
   select p.snp_id, p.cluster_id rec_id, cast(coalesce(sum(size) filter (where upper(substr(seq, pos + 1, 1)) = 'C'), 0) as bigint) c, cast(coalesce(sum(size) filter (where upper(substr(seq, pos + 1, 1)) = 'A'), 0) as bigint) a, cast(coalesce(sum(size) filter (where upper(substr(seq, pos + 1, 1)) = 'T'), 0) as bigint) t,
     cast(coalesce(sum(size) filter (where upper(substr(seq, pos + 1, 1)) = 'G'), 0) as bigint) g, cast(coalesce(sum(size) filter (where upper(substr(seq, pos + 1, 1)) in ('A', 'C', 'G', 'T')), 0) as bigint) dp from p join r using (cluster_id) group by 1, 2""")
 def j14_site_depths(spark, d):
     stacks = K.stack_rows(table(spark, d, "clusters"))
-    sites = S.site_table(table(spark, d, "snp_sites")).join(stacks.select(F.col("cluster_id").alias("snp_id")).distinct(), "snp_id").select("snp_id", F.col("snp_id").alias("rec_id"), F.col("locpos").alias("pos"), F.lit(0).alias("offset"), F.lit(0).alias("gaps"))
+    sites = S.site_table(table(spark, d, "snp_sites")).join(stacks.select(F.col("cluster_id").alias("snp_id")).distinct(), "snp_id").select("snp_id", F.col("snp_id").alias("rec_id"), F.col("locpos").alias("pos"), (F.col("snp_id") % 7).alias("offset"), (F.col("snp_id") % 3).alias("gaps"))
     columns = K.columns_of(stacks).select(F.col("cluster_id").alias("rec_id"), "pos", "c", "a", "t", "g")
     return M.site_depths(sites, columns)
 
@@ -132,3 +132,12 @@ def m29_site_patterns(spark, d):
     w = counts.groupBy("snp_id").pivot("pop", ["pop_a", "pop_b", "pop_c"]).agg(F.first("f")).dropna().toDF("snp_id", "a", "b", "c")
     both = lambda x, y: F.round(F.sum(F.expr(f"{x} + {y}")), 6)
     return w.agg(both("a * b * (1 - c)", "(1 - a) * (1 - b) * c").alias("aabb"), both("(1 - a) * b * c", "a * (1 - b) * (1 - c)").alias("abba"), both("a * (1 - b) * c", "(1 - a) * b * (1 - c)").alias("baba"), F.count(F.lit(1)).alias("sites"))
+
+
+@query(f"""with w as ({ORACLE_SQL["m29_site_patterns"]}), n as (select aabb / greatest(sites, 1)::double a, abba / greatest(sites, 1)::double b, baba / greatest(sites, 1)::double c, greatest(sites, 1)::double n from w),
+  v as (select a - c f1, b - c f2, (a * (1 - a) + c * (1 - c) + 2 * a * c) / n v1, (b * (1 - b) + c * (1 - c) + 2 * b * c) / n v2, (-a * b + a * c + b * c + c * (1 - c)) / n cov from n), r as (select *, if(f2 <> 0, f1 / f2, 0) q from v), z as (select *, v2 * q * q - 2 * cov * q + v1 s from r)
+  select round(f1, 6) f1, round(f2, 6) f2, round(if(s > 0, f2 * (q - 1) / sqrt(s), 0), 6) h, round(if(f1 + f2 <> 0, 1 - f1 / (f1 + f2), 0), 6) gamma from z""")
+def m29_hils_test(spark, d):
+    from stackloom.operators.reports import site_pattern_test
+
+    return site_pattern_test(m29_site_patterns(spark, d))

@@ -205,14 +205,16 @@ def t01_t04_length_order(spark, d):
     return inner.join(before, "len").select("edit_id", (F.col("k") + F.col("before")).alias("place"))
 
 
-@query()
+@query(f"with {_E} select edit_id read_id, -length(seq) length, (((edit_id % 2147483647 * 48271 + 1701137) % 2147483647) * 69621 + 42) % 2147483647 draw from e")
 def t02_length_shuffle(spark, d):
-    return R.length_shuffle(_edits(spark, d).select(F.col("edit_id").alias("read_id"), "seq"))
+    keyed = R.length_shuffle(_edits(spark, d).select(F.col("edit_id").alias("read_id"), "seq"))
+    return keyed.select("read_id", "order_key.length", "order_key.draw")
 
 
-@query("select sample, count(*) n from raw_reads where sample is not null group by 1 order by n desc, sample limit 10")
+@query("with n as (select sample, count(*) n from raw_reads where sample is not null group by 1) select sample, n, row_number() over (order by n desc, sample) place from n")
 def t05_largest_samples(spark, d):
-    return table(spark, d, "raw_reads").where("sample is not null").groupBy("sample").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sample").limit(10)
+    sizes = table(spark, d, "raw_reads").where("sample is not null").groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "sample")))  # the samples of a study
 
 
 @query(f"with {_E} select distinct upper(seq) seq from e where seq is not null and upper(seq) not in (select upper(replace(aligned_seq, '-', '')) from clusters where aligned_seq is not null)")
@@ -332,7 +334,10 @@ def f30_f31_window_filter(spark, d):
     return I.window_filter(_cells(spark, d), 10, 0.9)
 
 
-@query()
+@query("""with c as (select locus, locpos pos, sample, base from (select distinct * from genos) join (select distinct snp_id, locus, locpos from snp_sites) using (snp_id) where regexp_full_match(base, '[ACGTRKSYWM]')),
+  p as (select distinct sample, pop from imap where regexp_full_match(pop, 'pop_[a-l]')), n as (select locus, pos, pop, base, count(*) n from c join p using (sample) group by all),
+  u as (select *, sum(n) over (partition by locus, pos, pop order by base) upto, sum(n) over (partition by locus, pos, pop) total, (((((locus % 2147483647 * 7919 + pos) * 1048583 + ('0x' || substr(md5(pop), 1, 7))::bigint) % 2147483647 * 48271 + 1701137) % 2147483647) * 69621 + 42) % 2147483647 draw from n)
+  select locus, pos, pop, first(base order by upto) base from u where draw / 2147483647::double * total < upto group by 1, 2, 3""")
 def a23_consensus_reduce(spark, d):
     from stackloom.operators.snps import populations
 
@@ -389,7 +394,13 @@ def s05_record_count(spark, d):
     return table(spark, d, "barcodes_raw").groupBy("barcodes_file").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_LINE = """bl as (select rec_id, barcodes_file, datatype, regexp_extract(raw, '^[ \\t\\r]*("[^"\\n]*[^"\\s][^"\\n]*"|[^ \\t\\r\\n"]+)', 1) s, regexp_extract_all(raw, '("[RKSYWMCATGrksywmcatg]+"|[RKSYWMCATGrksywmcatg]+)[ \\t\\r]*$', 1) last, raw from barcodes_raw
+    where (datatype = 'rad' and regexp_full_match(raw, '[ \\t\\r]*("[^"\\n]*[^"\\s][^"\\n]*"|[^ \\t\\r\\n"]+)[ \\t\\r]+("[RKSYWMCATGrksywmcatg]+"|[RKSYWMCATGrksywmcatg]+)[ \\t\\r]*'))
+       or (datatype = 'pair3rad' and regexp_full_match(raw, '[ \\t\\r]*("[^"\\n]*[^"\\s][^"\\n]*"|[^ \\t\\r\\n"]+)([ \\t\\r]+("[RKSYWMCATGrksywmcatg]+"|[RKSYWMCATGrksywmcatg]+)){2}[ \\t\\r]*'))),
+  bp as (select rec_id, barcodes_file, trim(s, '"') sample, upper(replace(regexp_replace(trim(substr(trim(raw, ' ' || chr(9) || chr(13)), length(s) + 1), ' ' || chr(9) || chr(13)), '[ \\t\\r]+', '+'), '"', '')) barcode from bl)"""
+
+
+@query(f"with {_LINE} select barcodes_file, sample, barcode, row_number() over (partition by barcodes_file, sample order by rec_id) - 1 replicate from bp")
 def s07_barcode_table(spark, d):
     good = parse_barcode_lines(table(spark, d, "barcodes_raw")).where("ok")
     replicate = Window.partitionBy("barcodes_file", "sample").orderBy("rec_id")

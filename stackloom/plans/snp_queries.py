@@ -222,7 +222,11 @@ def m19_kmeans(spark, d):
     return S.kmeans(S.pca(_calls(spark, d))[0], 4)
 
 
-@query()
+_WHO = "(snp_id % 2147483647 * 1048583 + ('0x' || substr(md5(sample), 1, 7))::bigint) % 2147483647"
+
+
+@query(f"""with {_BASE}, j as (select g.*, pop from g left join p using (sample)), f as (select j.*, der / (anc + der)::double f from j left join c using (snp_id, pop))
+  select snp_id, sample, if(a0 < 2 and a1 < 2, a0 + a1, coalesce(({_DRAW.format(_WHO, 43, 43 * 40503 + 11)} / 2147483647::double < f)::int + ({_DRAW.format(_WHO, 44, 44 * 40503 + 11)} / 2147483647::double < f)::int, 0)) g, not coalesce(a0 < 2 and a1 < 2, false) imputed from f""")
 def m17_impute_sampled(spark, d):
     return S.impute_sampled(_calls(spark, d), _pops(spark, d))
 

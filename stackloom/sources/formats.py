@@ -270,7 +270,7 @@ def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
 def read_populations(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int]]:
     """(``sample, pop``, minimum samples of each population) from a population file with a ``# pop:min`` line."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    note = [r["value"] for r in lines.where(F.startswith(F.ltrim("value"), F.lit("#"))).limit(100).collect()]
+    note = [r["value"] for r in lines.where(F.startswith(F.ltrim("value"), F.lit("#"))).collect()]  # the comment lines of a small file
     least = {k: int(v) for line in note for k, v in re.findall(r"(\S+?):(\d+)", line.lstrip("# "))}
     parts = F.split(F.trim("value"), r"\s+")
     return lines.where(~F.startswith(F.ltrim("value"), F.lit("#"))).select(parts[0].alias("sample"), parts[1].alias("pop")), least
