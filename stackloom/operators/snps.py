@@ -344,6 +344,8 @@ def impute_kmeans(calls: DataFrame, sites: DataFrame, k: int, topcov: float = 0.
         part = impute_sampled(calls.join(kept, "snp_id", "left_semi"), groups, seed + step)
         if step == rounds - 1:
             return part, groups.select("sample", F.col("pop").alias("cluster"))
+        if not kept.head(1):
+            continue  # no site is covered so well: the next round asks for less
         some = unlinked(sites.join(kept, "snp_id", "left_semi"), seed + step).select("snp_id")
         points = pca(_as_calls(part.join(some, "snp_id", "left_semi")), min(4, max(1, number - 1)))[0]
         made = kmeans(points, k, seed + step).collect()  # the samples of the study

@@ -334,7 +334,7 @@ def parse_params(text: str, names: list[str]) -> dict[str, str]:
 
 def parse_structure_output(spark: SparkSession, path: str) -> DataFrame:
     """``file, k, est_lnlik, mean_lnlik, var_lnlik`` from the text of clustering runs."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     number = lambda label: F.regexp_extract("value", label + r"\s*=\s*(-?[0-9.]+)", 1).try_cast("double")
     return rows.select("file", F.regexp_extract("value", r"(\d+) populations assumed", 1).try_cast("int").alias("k"), number("Estimated Ln Prob of Data").alias("est_lnlik"), number("Mean value of ln likelihood").alias("mean_lnlik"), number("Variance of ln likelihood").alias("var_lnlik"))
 
@@ -344,15 +344,33 @@ def parse_trimming_report(text: str) -> dict[str, int]:
     return {k.strip(): int(v.replace(",", "")) for k, v in re.findall(r"^\s*([A-Za-z][\w ()/-]+?):\s+([\d,]+)(?= |$)", text, re.M)}
 
 
+def restored(o):
+    """What ``sinks.marked`` made of settings, as they were."""
+    if isinstance(o, dict):
+        return tuple(restored(x) for x in o["items"]) if o.get("__tuple__") else {k: restored(v) for k, v in o.items()}
+    return [restored(x) for x in o] if isinstance(o, list) else o
+
+
 def load_project(path: str) -> dict:
     """A project manifest; lists marked as tuples come back as such."""
+    return restored(json.loads(Path(path).read_text()))
+
+
+def parse_treemix_llik(spark: SparkSession, path: str) -> DataFrame:
+    """``file, migrations, llik`` from the likelihood files of admixture graphs: the numbers of the last line."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.rtrim(F.regexp_replace("value", r"\s+$", "")), r"([^\n]*)$", 1).alias("line"))
+    return rows.select("file", F.regexp_extract("line", r"with (\d+) migration", 1).try_cast("int").alias("migrations"), F.regexp_extract("line", r"(\S+)$", 1).try_cast("double").alias("llik"))
 
-    def restore(o):
-        if isinstance(o, dict):
-            return tuple(restore(x) for x in o["items"]) if o.get("__tuple__") else {k: restore(v) for k, v in o.items()}
-        return [restore(x) for x in o] if isinstance(o, list) else o
 
-    return restore(json.loads(Path(path).read_text()))
+def parse_posterior_table(spark: SparkSession, path: str) -> DataFrame:
+    """``file, row, values`` from tab-separated tables of posteriors (species trees and Bayesian trees): after lines in brackets comes the
+    header; ``values`` maps its names to a row's texts, without the first column, which is ``row``. Tables are small and read whole."""
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: (F.length(F.trim(x)) > 0) & ~F.startswith(x, F.lit("[")))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), lines.alias("l")).where("size(l) > 1")
+    head, cell = F.split(F.get("l", F.lit(0)), "\t"), F.split("line", "\t")
+    each = rows.select("file", head.alias("head"), F.explode(F.slice("l", F.lit(2), F.size("l") - 1)).alias("line"))
+    rest = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(F.col("head")) - 1, F.lit(0)))
+    return each.where(F.size(cell) == F.size("head")).select("file", F.get(cell, F.lit(0)).alias("row"), F.map_from_arrays(rest(F.col("head")), rest(cell)).alias("values"))
 
 
 READ_SCHEMA = StructType([StructField(n, StringType()) for n in ("name", "seq", "qual")])

@@ -11,7 +11,7 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions.sequence import allele_of, split_alleles
@@ -49,10 +49,10 @@ def allele_rows(rows: DataFrame) -> DataFrame:
     return rows.select("locus", F.explode(F.array(F.struct(F.concat("sample", F.lit("_0")).alias("sample"), first.alias("seq")), F.struct(F.concat("sample", F.lit("_1")).alias("sample"), second.alias("seq")))).alias("r")).select("locus", "r.*")
 
 
-def phylip_rows(concatenated: DataFrame) -> DataFrame:
-    """``k, line``: the header and one row for each sample of ``sample, seq``."""
+def phylip_rows(concatenated: DataFrame, plain: bool = False) -> DataFrame:
+    """``k, line``: the header and one row for each sample of ``sample, seq``; names are padded to one width, or with ``plain`` parted by one blank."""
     head = concatenated.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("m"), F.max(F.length("sample")).alias("w"))
-    body = concatenated.join(F.broadcast(head)).select(F.col("sample").alias("k"), F.concat(F.rpad("sample", F.col("w") + 4, " "), "seq").alias("line"))  # one row
+    body = concatenated.join(F.broadcast(head)).select(F.col("sample").alias("k"), F.concat(F.concat("sample", F.lit(" ")) if plain else F.rpad("sample", F.col("w") + 4, " "), "seq").alias("line"))  # one row
     return head.select(F.lit("").alias("k"), F.format_string("%d %d", "n", "m").alias("line")).unionByName(body)
 
 
@@ -163,17 +163,54 @@ def digested_rows(fragments: DataFrame, copies: int = 10) -> DataFrame:
     return rows.select("rec_id", F.format_string("@%d_%d_%d\n%s\n+\n%s", "rec_id", "fragment", "c", "seq", F.repeat(F.lit("I"), F.length("seq"))).alias("line"))
 
 
-def save_project(project: dict, path: str) -> None:
-    """A project manifest as JSON; tuples are marked."""
+def locus_phylip_rows(rows: DataFrame) -> DataFrame:
+    """``locus, name, line``: each locus of ``rows(locus, sample, seq)`` as a phylip block of its own: its header (without a name) and a row for each sample."""
+    head = rows.groupBy("locus").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("m")).select("locus", F.lit("").alias("name"), F.format_string("%d %d", "n", "m").alias("line"))
+    return head.unionByName(rows.select("locus", F.col("sample").alias("name"), F.concat_ws(" ", "sample", "seq").alias("line")))
+
+
+def cluster_rows(rows: DataFrame) -> DataFrame:
+    """``cluster_id, line``: each cluster of ``rows(cluster_id, hit_rank, name, size, orient, seq)`` as a block of names and sequences that two lines of ``//`` end.
+
+    A block holds the reads of one cluster."""
+    row = F.concat(F.lit(">"), "name", F.lit(";size="), F.col("size").cast("string"), F.lit(";"), "orient", F.lit("\n"), "seq")
+    block = rows.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("hit_rank", row.alias("t")))).alias("s"))
+    return block.select("cluster_id", F.concat(F.array_join(F.transform("s", lambda x: x["t"]), "\n"), F.lit("\n//\n//")).alias("line"))
+
+
+def stats_rows(stats: DataFrame, columns: Sequence[tuple[str, int]]) -> DataFrame:
+    """``k, line``: a table of statistics as text: a line of names, then one for each row, the first column to the left of its width and
+    the others to the right of theirs. ``columns`` has names and widths; ``k`` is the first column, for order."""
+    text = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n, _ in columns]
+    cells = [F.rpad(t, w, " ") if not k else F.lpad(t, w, " ") for k, (t, (_, w)) in enumerate(zip(text, columns))]
+    head = "".join(n.ljust(w) if not k else n.rjust(w) for k, (n, w) in enumerate(columns))
+    first = stats.sparkSession.createDataFrame([("", head)], "k string, line string")
+    return first.unionByName(stats.select(text[0].alias("k"), F.concat(*cells).alias("line")))
+
 
-    def mark(o):
-        if isinstance(o, tuple):
-            return {"__tuple__": True, "items": [mark(x) for x in o]}
-        if isinstance(o, dict):
-            return {k: mark(v) for k, v in o.items()}
-        return [mark(x) for x in o] if isinstance(o, list) else o
+def write_database(rows: DataFrame, path: str, key: str, part: int) -> None:
+    """Rows as Parquet in folders of ``part`` values of the integer ``key``, sorted by it, so that a slice reads only its folders and row groups."""
+    ranged = rows.withColumn("range", F.floor(F.col(key) / part))
+    ranged.repartitionByRange("range", key).sortWithinPartitions("range", key).write.mode("overwrite").partitionBy("range").parquet(path)
 
-    Path(path).write_text(json.dumps(mark(project), indent=1))
+
+def read_slice(spark: SparkSession, path: str, key: str, first: int, last: int, part: int) -> DataFrame:
+    """The rows of a database whose ``key`` lies in ``first`` to ``last``; both conditions reach the scan."""
+    return spark.read.parquet(path).where(F.col("range").between(first // part, last // part) & F.col(key).between(first, last)).drop("range")
+
+
+def marked(o):
+    """A project's settings with its tuples marked, for JSON."""
+    if isinstance(o, tuple):
+        return {"__tuple__": True, "items": [marked(x) for x in o]}
+    if isinstance(o, dict):
+        return {k: marked(v) for k, v in o.items()}
+    return [marked(x) for x in o] if isinstance(o, list) else o
+
+
+def save_project(project: dict, path: str) -> None:
+    """A project manifest as JSON; tuples are marked."""
+    Path(path).write_text(json.dumps(marked(project), indent=1))
 
 
 def params_text(values: dict[str, object]) -> str:

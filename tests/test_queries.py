@@ -3,9 +3,9 @@
 import pytest
 from oracle import SF, same
 
-from stackloom.plans import file_queries, format_queries, locus_queries, mapped_queries, problem_queries, read_queries, snp_queries, stack_queries
+from stackloom.plans import file_queries, format_queries, locus_queries, mapped_queries, problem_queries, read_queries, site_queries, snp_queries, stack_queries
 
-MODULES = (problem_queries, snp_queries, stack_queries, locus_queries, read_queries, format_queries, mapped_queries, file_queries)
+MODULES = (problem_queries, snp_queries, stack_queries, locus_queries, read_queries, format_queries, mapped_queries, file_queries, site_queries)
 ALL = [(m, n) for m in MODULES for n in m.QUERIES]
 
 
