@@ -169,7 +169,7 @@ def _shown(value) -> str:
 @query(" union all ".join(f"select {k} k, '{n}' \"name\", '{_shown(v)}' \"value\"" for k, (n, v) in enumerate(P.DEFAULTS.items())))
 def s15_params_file(spark, d):
     text = W.params_text(P.check({}))
-    path = _written(spark.createDataFrame([(k, line) for k, line in enumerate(text.splitlines())], "k int, line string").coalesce(1), "params")
+    path = _written(spark.createDataFrame([(k, line) for k, line in enumerate(text.splitlines())], "k int, line string").coalesce(1).sortWithinPartitions("k"), "params")
     read = R.parse_params("\n".join(r["value"] for r in spark.read.text(path).collect()), list(P.DEFAULTS))  # some thirty lines
     return spark.createDataFrame([(k, n, _shown(v)) for k, (n, v) in enumerate(read.items())], "k int, name string, value string")
 
@@ -213,9 +213,9 @@ def s20_treemix_output(spark, d):
 @query("select event_type parameter, round(avg(value), 4) mean, count(*) draws from events group by 1")
 def s20_posterior_table(spark, d):
     rows = table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("m"), F.count(F.lit(1)).alias("n"))
-    lines = rows.select(F.concat_ws("\t", "event_type", F.col("m").cast("string"), F.col("n").cast("string")).alias("line"))
-    head = spark.createDataFrame([("[ID: 0123456789]",), ("Parameter\tMean\tDraws",)], "line string")
-    read = R.parse_posterior_table(spark, _written(head.unionByName(lines).coalesce(1), "pstat"))
+    lines = rows.select(F.lit(2).alias("k"), F.concat_ws("\t", "event_type", F.col("m").cast("string"), F.col("n").cast("string")).alias("line"))
+    head = spark.createDataFrame([(0, "[ID: 0123456789]"), (1, "Parameter\tMean\tDraws")], "k int, line string")
+    read = R.parse_posterior_table(spark, _written(head.unionByName(lines).coalesce(1).sortWithinPartitions("k"), "pstat"))
     return read.select(F.col("row").alias("parameter"), F.col("values")["Mean"].try_cast("double").alias("mean"), F.col("values")["Draws"].try_cast("bigint").alias("draws"))
 
 
