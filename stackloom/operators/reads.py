@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,67 +85,90 @@ def pass_filters(reads: DataFrame, max_n: int = 5, min_length: int = 35) -> Data
     return trimmed.where((n <= max_n) & (F.length("trimmed_seq") >= min_length))
 
 
-def quality_cut(quality: np.ndarray, cutoff: int, both_ends: bool = False) -> tuple[int, int]:
-    """The part of a read to keep by partial sums of ``cutoff - quality``: where
-    the running sum from an end is largest, stopping where it turns negative."""
+def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, lengths): texts as rows of bytes, zeros behind their ends."""
+    raw = [t.encode("latin-1", "replace") for t in texts]
+    length = np.array([len(r) for r in raw], dtype=np.int64)
+    out = np.zeros((len(raw), int(length.max(initial=0))), dtype=np.uint8)
+    out[np.arange(out.shape[1])[None, :] < length[:, None]] = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    return out, length
 
-    def from_end(q: np.ndarray) -> int:
-        total, most, keep = 0, 0, len(q)
-        for i in range(len(q) - 1, -1, -1):
-            total += cutoff - int(q[i])
-            if total < 0:
-                break
-            if total > most:
-                most, keep = total, i
-        return keep
 
-    stop = from_end(quality)
-    start = len(quality) - from_end(quality[::-1]) if both_ends else 0
-    return (start, stop) if start < stop else (0, 0)
+def _end_cut(lack: np.ndarray) -> np.ndarray:
+    """For each row how many columns from the left to keep: the running sum of ``lack`` from the right is largest there, stopping
+    where it turns negative; all where it is never positive."""
+    n, width = lack.shape
+    if not width:
+        return np.zeros(n, dtype=np.int64)
+    total = np.cumsum(lack[:, ::-1], axis=1)
+    total[np.logical_or.accumulate(total < 0, axis=1)] = -1
+    at = total.argmax(axis=1)
+    return np.where(total[np.arange(n), at] > 0, width - 1 - at, width)
 
 
-def adapter_start(seq: str, adapter: str, error: float = 0.1, overlap: int = 3) -> int:
-    """Where a 3' adapter begins in ``seq`` (its length if nowhere): the best semi-global match
+def quality_cuts(letters: np.ndarray, length: np.ndarray, cutoff: int, offset: int = 33, both_ends: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each read to keep by partial sums of ``cutoff - quality``: where
+    the running sum from an end is largest, stopping where it turns negative."""
+    column = np.arange(letters.shape[1])[None, :]
+    lack = np.where(column < length[:, None], cutoff + offset - letters.astype(np.int64), 0)
+    stop = np.minimum(_end_cut(lack), length)
+    start = np.zeros(len(length), dtype=np.int64)
+    if both_ends:
+        kept = _end_cut(lack[:, ::-1])
+        start = np.where(kept < lack.shape[1], lack.shape[1] - kept, 0)
+    empty = start >= stop
+    return np.where(empty, 0, start), np.where(empty, 0, stop)
+
+
+def adapter_starts(letters: np.ndarray, length: np.ndarray, adapter: str, error: float = 0.1, overlap: int = 3) -> np.ndarray:
+    """Where a 3' adapter begins in each read (its length if nowhere): its first whole occurrence, else the best match
     of a prefix of the adapter that ends inside, or at the end of, the read, with at most ``error`` mismatches a letter."""
-    exact = seq.find(adapter)
-    if exact >= 0:
-        return exact
-    best, at = 0, len(seq)
-    for i in range(len(seq) - overlap + 1):
-        n = min(len(adapter), len(seq) - i)
-        wrong = sum(a != b for a, b in zip(adapter, seq[i : i + n]))
-        if wrong <= int(error * n) and n - 2 * wrong > best:
-            best, at = n - 2 * wrong, i
-    return at
+    pattern = np.frombuffer(adapter.encode("latin-1"), dtype=np.uint8)
+    n, width = letters.shape
+    best, at, exact = np.zeros(n, dtype=np.int64), length.copy(), np.full(n, -1, dtype=np.int64)
+    for i in range(width - overlap + 1):
+        size = np.minimum(len(pattern), length - i)
+        rows = np.flatnonzero(size >= overlap)
+        if not len(rows):
+            break
+        window = letters[rows, i : i + len(pattern)]
+        column = np.arange(window.shape[1])[None, :]
+        wrong = ((window != pattern[None, : window.shape[1]]) & (column < size[rows, None])).sum(axis=1)
+        worth = size[rows] - 2 * wrong
+        better = (wrong <= (error * size[rows]).astype(np.int64)) & (worth > best[rows])
+        best[rows[better]], at[rows[better]] = worth[better], i
+        whole = rows[(wrong == 0) & (size[rows] == len(pattern))]
+        exact[whole] = np.where(exact[whole] < 0, i, exact[whole])
+    return np.where(exact >= 0, exact, at)
 
 
 def trim_reads(reads: DataFrame, cutoff: int = 20, adapter: str | None = None, offset: int = 33, both_ends: bool = False) -> DataFrame:
-    """``read_id, seq, qual, trimmed``: quality trimming, then adapter trimming; ``trimmed`` says what was cut.
+    """``read_id, seq, qual, trimmed``: quality trimming, then adapter trimming; ``trimmed`` says what was cut, null for a read
+    without a sequence or with qualities of another length, which stays as it is.
 
-    Partial sums with an early stop and error-tolerant matching have no column expression, so reads go through Arrow in blocks."""
+    Partial sums with an early stop and error-tolerant matching have no column expression, so reads go through Arrow in blocks,
+    all reads of a block at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs, quals, marks = [], [], []
-            for s, q in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if s is None or q is None or len(s) != len(q):
-                    seqs.append(s)
-                    quals.append(q)
-                    marks.append(None)
-                    continue
-                a, b = quality_cut(np.frombuffer(q.encode("latin-1", "replace"), np.uint8).astype(int) - offset, cutoff, both_ends)
-                mark = "trim_q" if b - a < len(s) else "none"
-                s, q = s[a:b], q[a:b]
-                if adapter:
-                    at = adapter_start(s, adapter)
-                    if at < len(s):
-                        s, q, mark = s[:at], q[:at], "trim_adapter"
-                seqs.append(s)
-                quals.append(q)
-                marks.append(mark)
-            yield pa.record_batch([batch.column(0), pa.array(seqs, pa.string()), pa.array(quals, pa.string()), pa.array(marks, pa.string())], names=["read_id", "seq", "qual", "trimmed"])
-
-    return reads.select(F.col("read_id").cast("bigint").alias("read_id"), "seq", "qual").mapInArrow(run, "read_id bigint, seq string, qual string, trimmed string")
+            seq, qual = batch.column(1), batch.column(2)
+            good = pc.fill_null(pc.equal(pc.utf8_length(seq), pc.utf8_length(qual)), False)
+            rows = np.flatnonzero(good.to_numpy(zero_copy_only=False))
+            texts, quals = seq.take(pa.array(rows)).to_pylist(), qual.take(pa.array(rows)).to_pylist()
+            q, length = _matrix(quals)
+            start, stop = quality_cuts(q, length, cutoff, offset, both_ends)
+            mark = np.where(stop - start < length, "trim_q", "none").astype(object)
+            if adapter:
+                letters, kept = _matrix([t[x:y] for t, x, y in zip(texts, start, stop)])
+                at = adapter_starts(letters, kept, adapter)
+                mark[at < kept] = "trim_adapter"
+                stop = start + at
+            mask = pa.array(good.to_numpy(zero_copy_only=False))
+            seqs, cut_quals = ([t[x:y] for t, x, y in zip(some, start, stop)] for some in (texts, quals))
+            out = [pc.replace_with_mask(column, mask, pa.array(made, pa.string())) for column, made in ((seq, seqs), (qual, cut_quals), (pa.nulls(batch.num_rows, pa.string()), mark.tolist()))]
+            yield pa.record_batch([batch.column(0), *out], names=["read_id", "seq", "qual", "trimmed"])
+
+    return reads.select(F.col("read_id").cast("bigint").alias("read_id"), F.col("seq").cast("string").alias("seq"), F.col("qual").cast("string").alias("qual")).mapInArrow(run, "read_id bigint, seq string, qual string, trimmed string")
 
 
 def adapter_of(cut: str, barcode: str = "", tail: str = "AGATCGGAAGAGC") -> str:
@@ -188,30 +212,48 @@ def merge_overlapping(pairs: DataFrame, least: int = 20, most_differences: int =
     """``pair, merged, seq``: mates ``a`` and ``b`` (``b`` already on the strand of ``a``) made one where they overlap by ``least`` letters
     with at most ``most_differences``; also where one extends beyond the start of the other. Others are joined by ``nnnn``."""
 
-    def overlap(a: str, b: str) -> str | None:
-        best = None
-        for start in range(-(len(b) - least), len(a) - least + 1):
-            lo, hi = max(0, start), min(len(a), start + len(b))
-            if hi - lo < least:
+    def overlaps(firsts: list[str], seconds: list[str]) -> list[str | None]:
+        """The merged sequence of each pair, by the offset with the best overlap (the first of equals)."""
+        a, la = _matrix(firsts)
+        b, lb = _matrix(seconds)
+        n, wa, wb = len(la), a.shape[1], b.shape[1]
+        best, start = np.full(n, -(1 << 30)), np.zeros(n, dtype=np.int64)
+        column = np.arange(wa)[None, :]
+        for s in range(-(wb - least), wa - least + 1):
+            lo, hi = max(0, s), np.minimum(la, s + lb)
+            size = hi - lo
+            rows = np.flatnonzero((size >= least) & (s >= least - lb) & (s <= la - least))
+            if not len(rows):
+                continue
+            end = min(wa, s + wb)
+            differ = a[rows, lo:end] != b[rows, lo - s : end - s]
+            wrong = (differ & (column[:, lo:end] < hi[rows, None])).sum(axis=1)
+            worth = size[rows] - 4 * wrong
+            better = (wrong <= most_differences) & (worth > best[rows])
+            best[rows[better]], start[rows[better]] = worth[better], s
+        out: list[str | None] = []
+        for x, y, s, w in zip(firsts, seconds, start.tolist(), best.tolist()):
+            if w == -(1 << 30):
+                out.append(None)
                 continue
-            wrong = sum(x != y for x, y in zip(a[lo:hi], b[lo - start : hi - start]))
-            if wrong <= most_differences and (best is None or (hi - lo - 4 * wrong) > best[0]):
-                best = (hi - lo - 4 * wrong, start, lo, hi)
-        if best is None:
-            return None
-        _, start, lo, hi = best
-        middle = "".join(x if x == y else (y if x == "N" else x if y == "N" else "N") for x, y in zip(a[lo:hi], b[lo - start : hi - start]))
-        return a[:lo] + middle + (b[hi - start :] if start + len(b) > len(a) else "")
+            lo, hi = max(0, s), min(len(x), s + len(y))
+            p, q = x[lo:hi], y[lo - s : hi - s]
+            middle = p if p == q else "".join(c if c == e else (e if c == "N" else c if e == "N" else "N") for c, e in zip(p, q))
+            out.append(x[:lo] + middle + (y[hi - s :] if s + len(y) > len(x) else ""))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            firsts, seconds = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            both = [k for k, (a, b) in enumerate(zip(firsts, seconds)) if a and b]
+            merged = dict(zip(both, overlaps([firsts[k] for k in both], [seconds[k] for k in both]))) if both else {}
             flags, seqs = [], []
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                one = overlap(a, b) if a and b else None
+            for k, (a, b) in enumerate(zip(firsts, seconds)):
+                one = merged.get(k)
                 good = one is not None and len(one) >= min_length
                 flags.append(good)
                 seqs.append(one if good else None if a is None or b is None else f"{a}nnnn{b}")
-            yield pa.record_batch([batch.column(0), pa.array(flags), pa.array(seqs, pa.string())], names=["pair", "merged", "seq"])
+            yield pa.record_batch([batch.column(0), pa.array(flags, pa.bool_()), pa.array(seqs, pa.string())], names=["pair", "merged", "seq"])
 
     return pairs.select(F.col("pair").cast("bigint").alias("pair"), "a", "b").mapInArrow(run, "pair bigint, merged boolean, seq string")
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.plans.durable import Rounds, cut
+
 
 def compress(df: DataFrame, key: str, value: str) -> DataFrame:
     """``(key, value, weight)``: how often each value occurs for each key. A
@@ -39,21 +41,27 @@ def percentile_per_key(df: DataFrame, key: str, value: str, share: float, bins:
     """``(key, percentile)``: the smallest value with at least ``share`` of the
     key's non-null rows at or below it (the discrete percentile), exactly.
 
-    The weighted values are first counted in ``bins`` equal ranges of each
-    key, the range that holds the wanted rank is found, and only its values
-    are ranked; so no task holds all values of a hot key."""
-    weighted = compress(df, key, value).where(F.col("value").isNotNull())
-    edge = weighted.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("weight").alias("total"))
-    placed = weighted.alias("w").join(edge.alias("e"), F.col("w.key").eqNullSafe(F.col("e.key"))).select("w.key", "w.value", "w.weight", "e.total", "e.lo", "e.hi")
-    width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / bins
-    placed = placed.withColumn("bin", F.when(width > 0, F.least(F.floor((F.col("value").cast("double") - F.col("lo").cast("double")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
-    counted = placed.groupBy("key", "bin").agg(F.sum("weight").alias("n"), F.first("total").alias("total"))
-    before = F.sum("n").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))  # at most `bins` rows for each key
-    rank = F.greatest(F.ceil(F.col("total") * F.lit(share)), F.lit(1))
-    wanted = counted.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("rank", rank).where("before < rank and before + n >= rank").select("key", "bin", "before", "rank")
-    inside = placed.alias("p").join(wanted.alias("q"), F.col("p.key").eqNullSafe(F.col("q.key")) & (F.col("p.bin") == F.col("q.bin"))).select("p.key", "p.value", "p.weight", "q.before", "q.rank")
+    The weighted values of each key are counted in ``bins`` equal ranges, and the range that holds the wanted rank is parted
+    again between its own least and largest value until it holds at most ``bins`` different values; only those
+    are ranked. So no task holds all values of a hot key, however they lie (an outlier costs one more round)."""
+    weighted = cut(compress(df, key, value).where(F.col("value").isNotNull()))
+    rank = F.greatest(F.ceil(F.sum("weight") * F.lit(share)), F.lit(1))
+    tables = Rounds(df.sparkSession, "percentile")
+    state = tables.write("state", weighted.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.lit(0).cast("bigint").alias("before"), rank.alias("rank"), F.count(F.lit(1)).alias("kinds")))
+
+    def inside(state: DataFrame) -> DataFrame:
+        both = weighted.alias("w").join(state.alias("s"), F.col("w.key").eqNullSafe(F.col("s.key")) & F.col("w.value").between(F.col("s.lo"), F.col("s.hi")))
+        return both.select("w.key", "w.value", "w.weight", "s.lo", "s.hi", "s.before", "s.rank")
+
+    while (state.agg(F.max("kinds")).first()[0] or 0) > bins:
+        width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / bins
+        bin_ = F.when(width > 0, F.least(F.floor((F.col("value").cast("double") - F.col("lo").cast("double")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+        counted = inside(state).groupBy("key", bin_.alias("bin")).agg(F.sum("weight").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.first("before").alias("before"), F.first("rank").alias("rank"), F.count(F.lit(1)).alias("kinds"))
+        below = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most `bins` rows for each key
+        chosen = counted.withColumn("before", F.col("before") + below).where("before < rank and before + n >= rank")
+        state = tables.write("state", chosen.select("key", "lo", "hi", "before", "rank", "kinds"))
     upto = F.sum("weight").over(Window.partitionBy("key").orderBy("value"))
-    return inside.withColumn("upto", F.col("before") + upto).where("upto >= rank").groupBy("key").agg(F.min("value").alias("percentile"))
+    return inside(state).withColumn("upto", F.col("before") + upto).where("upto >= rank").groupBy("key").agg(F.min("value").alias("percentile"))
 
 
 def heavy_keys(per_key: DataFrame, measure: str, share: float = 0.05) -> DataFrame:
@@ -82,4 +90,6 @@ def deep_clusters_per_sample(clusters: DataFrame, min_depth: int = 6) -> DataFra
     repeated hit counts once, a null size as nothing."""
     hits = clusters.where(F.col("sample").isNotNull()).groupBy("sample", "cluster_id", "hit_rank").agg(F.max("size").alias("size"))
     depth = hits.groupBy("sample", "cluster_id").agg(F.sum(F.coalesce("size", F.lit(0).cast("bigint"))).alias("depth"))
-    return depth.groupBy(F.col("sample").alias("key")).agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if(F.col("depth") >= min_depth).alias("n_deep"))
+    # depths by frequency: a hot sample is a few weighted values before it is one key
+    n = compress(depth, "sample", "depth")
+    return n.groupBy("key").agg(F.sum("weight").alias("n_clusters"), F.sum(F.when(F.col("value") >= min_depth, F.col("weight")).otherwise(0)).alias("n_deep"))

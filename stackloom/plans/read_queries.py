@@ -82,7 +82,19 @@ def f09_cap_reads(spark, d):
     return R.cap_per_sample(reads, 100)
 
 
-@query()
+_TRIM = r"""gd as (select rec_id, regexp_extract(any_value(raw), '^[^\n]*\n([ACGTNacgtn]+)\r?\n', 1) seq, regexp_extract(any_value(raw), '\n\+[^\n]*\n([!-J]+)(\r?\n)?$', 1) qual
+  from fastqs_raw where regexp_full_match(raw, '@[^\n]*[^\r\n][^\n]*\n[ACGTNacgtn]+\r?\n\+[^\n]*\n[!-J]+(\r?\n)?')
+  and length(regexp_extract(raw, '^[^\n]*\n([ACGTNacgtn]+)\r?\n', 1)) = length(regexp_extract(raw, '\n\+[^\n]*\n([!-J]+)(\r?\n)?$', 1)) group by rec_id),
+  u as (select rec_id, qual, unnest(range(1, length(qual) + 1)) i from gd), s as (select rec_id, i, sum(53 - ascii(substr(qual, i, 1))) over (partition by rec_id order by i desc) t from u),
+  ng as (select rec_id, max(i) ni from s where t < 0 group by 1), bt as (select rec_id, first(i order by t desc, i desc) bi, max(t) mt from s left join ng using (rec_id) where ni is null or i > ni group by 1),
+  q as (select rec_id, seq, qual, case when mt > 0 then bi - 1 else length(seq) end stop from gd left join bt using (rec_id)),
+  t as (select rec_id, length(seq) whole, substr(seq, 1, stop) seq, substr(qual, 1, stop) qual, instr(substr(seq, 1, stop), 'CTGCAAGATCGGAAGAGC') ex from q),
+  c as (select rec_id, seq, unnest(range(0, greatest(length(seq) - 2, 0))) i from t), h as (select rec_id, i, least(18, length(seq) - i) n, hamming(substr('CTGCAAGATCGGAAGAGC', 1, cast(least(18, length(seq) - i) as int)), substr(seq, i + 1, least(18, length(seq) - i))) w from c),
+  b as (select rec_id, first(i order by n - 2 * w desc, i) spot from h where w <= floor(0.1::double * n) and n - 2 * w > 0 group by 1),
+  f as (select t.*, case when ex > 0 then ex - 1 else coalesce(spot, length(seq)) end kept from t left join b using (rec_id))"""
+
+
+@query(f"with {_TRIM} select rec_id read_id, substr(seq, 1, kept) seq, substr(qual, 1, kept) qual, case when kept < length(seq) then 'trim_adapter' when length(seq) < whole then 'trim_q' else 'none' end trimmed from f")
 def f05_f06_trim_reads(spark, d):
     reads = _fastq(spark, d).select(F.col("rec_id").alias("read_id"), "seq", "qual")
     return R.trim_reads(reads, 20, R.adapter_of("TGCAG"))
@@ -126,7 +138,11 @@ def j03_x15_pair_join(spark, d):
     return R.join_mates(both.select(F.col("edit_id").alias("pair"), a.alias("seq")), both.select(F.col("edit_id").alias("pair"), b.alias("seq")))
 
 
-@query()
+@query(f"""with {_E}, m as (select edit_id, split_part(seq, 'nnnn', 1) a, split_part(seq, 'nnnn', 2) b from e where seq like '%nnnn%'), s as (select *, unnest(range(-(length(b) - 20), length(a) - 19)) st from m where length(a) > 0 and length(b) > 0),
+  o as (select *, greatest(0, st) lo, least(length(a), st + length(b)) hi from s), w as (select *, hamming(substr(a, lo + 1, hi - lo), substr(b, lo - st + 1, hi - lo)) wrong from o where hi - lo >= 20),
+  k as (select edit_id, first(st order by hi - lo - 4 * wrong desc, st) st from w where wrong <= 4 group by 1), j as (select m.*, st, greatest(0, st) lo, least(length(a), st + length(b)) hi from m left join k using (edit_id)),
+  g as (select *, substr(a, 1, lo) || array_to_string(list_transform(range(lo, hi), lambda i: case when substr(a, i + 1, 1) = substr(b, i - st + 1, 1) then substr(a, i + 1, 1) when substr(a, i + 1, 1) = 'N' then substr(b, i - st + 1, 1) when substr(b, i - st + 1, 1) = 'N' then substr(a, i + 1, 1) else 'N' end), '') || if(st + length(b) > length(a), substr(b, hi - st + 1), '') one from j)
+  select edit_id pair, coalesce(st is not null and length(one) >= 32, false) merged, case when st is not null and length(one) >= 32 then one else a || 'nnnn' || b end seq from g""")
 def j04_merge_pairs(spark, d):
     a, b = Q.mates(F.col("seq"))
     return R.merge_overlapping(_edits(spark, d).where(F.contains("seq", F.lit("nnnn"))).select(F.col("edit_id").alias("pair"), a.alias("a"), b.alias("b")))

@@ -111,12 +111,15 @@ def test_barcodes(spark):
     assert both["CATCAT"] == ("s", 0) and both["CATCAA"] == ("t", 0) and both["CATCAG"] == ("s", 1)
 
 
-def test_trimming():
-    assert reads.quality_cut(np.array([40, 40, 40, 10, 5]), 20) == (0, 3)
-    assert reads.quality_cut(np.array([2, 2]), 20) == (0, 0)
-    assert reads.adapter_start("ACGTACGTAGATCGGAAG", "AGATCGGAAGAGC") == 8
-    assert reads.adapter_start("ACGTACGTACGT", "GGGGGGGG") == 12
+def test_trimming(spark):
+    cuts = lambda *quals, **more: list(zip(*(x.tolist() for x in reads.quality_cuts(*reads._matrix(["".join(chr(q + 33) for q in row) for row in quals]), 20, **more))))
+    assert cuts([40, 40, 40, 10, 5], [2, 2], [40], []) == [(0, 3), (0, 0), (0, 1), (0, 0)]
+    assert cuts([2, 30, 30], [30, 2, 30], both_ends=True) == [(1, 3), (0, 3)]
+    starts = lambda adapter, *seqs: reads.adapter_starts(*reads._matrix(list(seqs)), adapter).tolist()
+    assert starts("AGATCGGAAGAGC", "ACGTACGTAGATCGGAAG", "ACGTACGTACGTCC", "AGATCGGAAGAGCAGATCGGAAGAGC", "AC") == [8, 14, 0, 2]
     assert reads.adapter_of("TGCAG", "CAT").startswith("CTGCAATG")
+    odd = spark.createDataFrame([(1, None, "II"), (2, "ACG", "I"), (3, "", ""), (4, "ACGT", "IIII")], "read_id int, seq string, qual string")
+    assert [tuple(r) for r in reads.trim_reads(odd, 20, "AGATCGG").orderBy("read_id").collect()] == [(1, None, "II", None), (2, "ACG", "I", None), (3, "", "", "none"), (4, "ACGT", "IIII", "none")]
 
 
 def test_merging_and_digest(spark):

@@ -1,5 +1,6 @@
 """Skewed keys, rejected rows and filled values on small hand-made tables."""
 
+import math
 import random
 
 import pytest
@@ -35,6 +36,17 @@ def test_percentile_matches_sorting(spark, share):
     assert "none" not in out
 
 
+def test_an_outlier_does_not_gather_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    values = [*range(3000), 10**12, -(10**9)]
+    df = spark.createDataFrame([("hot", v) for v in values] + [("b", 5)], "k string, v bigint")
+    for share in (0.01, 0.5, 0.999):
+        out = {r["key"]: r["percentile"] for r in percentile_per_key(df, "k", "v", share, bins=16).collect()}
+        assert out["hot"] == sorted(values)[math.ceil(len(values) * share) - 1]
+    assert percentile_per_key(df.where(F.lit(False)), "k", "v", 0.5).count() == 0
+
+
 def test_skew_on_empty_tables(spark):
     empty = spark.createDataFrame([], "sample string, read_id bigint, cluster_id bigint, hit_rank int, size bigint")
     assert heavy_keys(reads_per_sample(empty), "n_distinct").count() == 0
