@@ -84,7 +84,11 @@ def k04_phylip_file(spark, d):
     return W.phylip_rows(L.concatenated(cells, cells))
 
 
-@query()
+@query(f"""with {_CELLS}, col as (select distinct locus, pos from cells), s as (select distinct sample from cells), q as (select s.sample, string_agg(coalesce(base, 'N'), '' order by locus, pos) seq from col cross join s left join cells using (locus, pos, sample) group by 1), h as (select count(*) n, max(length(seq)) m from q),
+  o as (select locus, cast(sum(n_sites) over (order by locus) as bigint) e, n_sites from sites)
+  select -1 k, '' sample, '#nexus' || chr(10) || 'begin data;' || chr(10) || '  dimensions ntax=' || n || ' nchar=' || m || ';' || chr(10) || '  format datatype=dna missing=N gap=- interleave=yes;' || chr(10) || '  matrix' line from h
+  union all select k, sample, sample || '    ' || substr(seq, k * 100 + 1, 100) from (select sample, seq, unnest(range(0, cast(ceil(length(seq) / 100) as bigint))) k from q)
+  union all select 1073741824, '', '  ;' || chr(10) || 'end;' || chr(10) || 'begin sets;' from h union all select 1073741825, lpad(locus::varchar, 12, '0'), '  charset locus_' || locus || ' = ' || (e - n_sites + 1) || '-' || e || ';' from o union all select 1073741826, '', 'end;' from h""")
 def k05_nexus_file(spark, d):
     cells = _cells(spark, d)
     sets = L.running_offsets(cells.groupBy("locus").agg(F.countDistinct("pos").alias("length")))

@@ -124,6 +124,21 @@ ORACLE_SQL = {
           when 'rad' then regexp_full_match(raw, '[ \t\r]*("[^"\n]*[^"\s][^"\n]*"|[^ \t\r\n"]+)[ \t\r]+("[RKSYWMCATGrksywmcatg]+"|[RKSYWMCATGrksywmcatg]+)[ \t\r]*')
           when 'pair3rad' then regexp_full_match(raw, '[ \t\r]*("[^"\n]*[^"\s][^"\n]*"|[^ \t\r\n"]+)([ \t\r]+("[RKSYWMCATGrksywmcatg]+"|[RKSYWMCATGrksywmcatg]+)){2}[ \t\r]*')
           else false end)""",
+    "p4_fastqs": r"""
+        with a as (select rec_id, fastq, raw, replace(raw, chr(13) || chr(10), chr(10)) t from fastqs_raw),
+        b as (select rec_id, fastq, raw, string_split(if(t like '%' || chr(10), substr(t, 1, length(t) - 1), t), chr(10)) l from a),
+        c as (select *, case when raw is null then 'null record' when regexp_full_match(raw, '\s*') then 'blank record' when len(l) <> 4 then len(l) || ' lines instead of 4' when l[1] not like '@%' then 'name line does not start with @'
+          when length(l[1]) < 2 then 'empty name' when l[2] = '' then 'empty sequence' when not regexp_full_match(l[2], '[ACGTNacgtn]*') then 'sequence letter that is not A, C, G, T or N' when l[3] not like '+%' then 'third line does not start with +'
+          when not regexp_full_match(l[4], '[!-J]*') then 'quality character outside ! to J' when length(l[4]) <> length(l[2]) then 'quality and sequence differ in length' end reason from b)
+        select rec_id, fastq, if(reason is null, substr(l[1], 2), null) name, if(reason is null, l[2], null) seq, if(reason is null, l[4], null) qual, reason is null ok, reason from c""",
+    "p4_barcodes": r"""
+        with a as (select *, trim(raw, ' ' || chr(9) || chr(13)) t from barcodes_raw),
+        b as (select *, regexp_extract_all(t, '"[^"]*"|[^ \t\r"]+') f, regexp_full_match(t, '("[^"]*"|[^ \t\r"]+)([ \t\r]+("[^"]*"|[^ \t\r"]+))*') whole, if(datatype = 'rad', 2, 3) want from a),
+        c as (select *, trim(f[1], '"') s, upper(trim(f[2], '"')) b1, upper(trim(f[3], '"')) b2 from b),
+        d as (select *, case when raw is null then 'null line' when regexp_full_match(raw, '\s*') then 'blank line' when datatype is null or datatype not in ('rad', 'pair3rad') then 'unknown datatype' when not whole then 'broken quoting' when contains(t, chr(10)) then 'line end within a line'
+          when len(f) <> want then len(f) || ' fields instead of ' || want when not regexp_matches(s, '[^\s]') then 'blank sample name' when b1 = '' then 'empty barcode1' when not regexp_full_match(b1, '[RKSYWMCATG]*') then 'letter of barcode1 that is no nucleotide code'
+          when want = 3 and b2 = '' then 'empty barcode2' when want = 3 and not regexp_full_match(b2, '[RKSYWMCATG]*') then 'letter of barcode2 that is no nucleotide code' end reason from c)
+        select rec_id, barcodes_file, datatype, if(reason is null, s, null) sample, if(reason is null, b1, null) barcode1, if(reason is null and want = 3, b2, null) barcode2, reason is null ok, reason from d""",
     "p5_found": """
         with g as (select distinct * from genos)
         select distinct metric, snp_id, sample from (
