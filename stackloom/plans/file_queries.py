@@ -291,7 +291,7 @@ def _window_rows(spark, d):
     return L.concatenated(cells, calls.select("sample"))
 
 
-@query(_WINDOW + ", h as (select count(*) n, max(length(seq)) m from q) select '' k, n || ' ' || m line from h union all select sample, sample || ' ' || seq from q")
+@query(_WINDOW + ", h as (select count(*) n, coalesce(max(length(seq)), 0) m from q) select '' k, n || ' ' || m line from h union all select sample, sample || ' ' || seq from q")
 def k20_window_phylip(spark, d):
     return W.phylip_rows(_window_rows(spark, d), plain=True)
 

@@ -51,7 +51,7 @@ def allele_rows(rows: DataFrame) -> DataFrame:
 
 def phylip_rows(concatenated: DataFrame, plain: bool = False) -> DataFrame:
     """``k, line``: the header and one row for each sample of ``sample, seq``; names are padded to one width, or with ``plain`` parted by one blank."""
-    head = concatenated.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("m"), F.max(F.length("sample")).alias("w"))
+    head = concatenated.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("m"), F.coalesce(F.max(F.length("sample")), F.lit(0)).alias("w"))
     body = concatenated.join(F.broadcast(head)).select(F.col("sample").alias("k"), F.concat(F.concat("sample", F.lit(" ")) if plain else F.rpad("sample", F.col("w") + 4, " "), "seq").alias("line"))  # one row
     return head.select(F.lit("").alias("k"), F.format_string("%d %d", "n", "m").alias("line")).unionByName(body)
 
