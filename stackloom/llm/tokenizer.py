@@ -201,7 +201,7 @@ _ENCODERS: dict[int, Encoder] = {}
 
 def encoder(tokens: list[bytes]) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    key = hash(tuple(tokens[-50:])) ^ len(tokens)
+    key = hash(tuple(tokens))
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(tokens)
     return _ENCODERS[key]
