@@ -20,24 +20,32 @@ class EncodedStrings:
 
     ``codes[i, j]`` is the alphabet index of letter ``j`` of string ``i`` and
     ``peq[i, s, w]`` has bit ``b`` set where letter ``64 * w + b`` equals
-    symbol ``s``.
+    symbol ``s``; only the first ``patterns`` strings (default: all) have it.
     """
 
-    def __init__(self, strings: list[str]):
+    def __init__(self, strings: list[str], patterns: int | None = None):
         raw = [s.encode("utf-32-le") for s in strings]
         self.lengths = np.array([len(r) // 4 for r in raw], dtype=np.int64)
         n, width = len(strings), max(1, int(self.lengths.max(initial=1)))
         self.words = (width + 63) // 64
         flat = np.frombuffer(b"".join(raw), dtype=np.uint32)
-        alphabet, inverse = np.unique(flat, return_inverse=True)
+        top = int(flat.max(initial=0))
+        if top < 1 << 16:
+            alphabet = np.flatnonzero(np.bincount(flat, minlength=1))
+            number = np.zeros(top + 1, dtype=np.uint32)
+            number[alphabet] = np.arange(len(alphabet))
+            inverse = number[flat]
+        else:
+            alphabet, inverse = np.unique(flat, return_inverse=True)
         self.symbols = max(1, len(alphabet))
         kind = np.uint8 if self.symbols < 255 else np.uint32
         self.codes = np.full((n, self.words * 64), np.iinfo(kind).max, dtype=kind)
         inside = np.arange(self.words * 64)[None, :] < self.lengths[:, None]
         self.codes[inside] = inverse.astype(kind)
-        self.peq = np.zeros((n, self.symbols + 1, self.words), dtype=np.uint64)
+        patterns = n if patterns is None else patterns
+        self.peq = np.zeros((patterns, self.symbols + 1, self.words), dtype=np.uint64)
         for s in range(self.symbols):
-            bits = np.packbits(self.codes == s, axis=1, bitorder="little")
+            bits = np.packbits(self.codes[:patterns] == s, axis=1, bitorder="little")
             self.peq[:, s, :] = bits.view(np.uint64)
 
     def __len__(self) -> int:
@@ -96,6 +104,34 @@ def _block(enc: EncodedStrings, a: np.ndarray, b: np.ndarray, limit: np.ndarray
     return out
 
 
+def prefix_within(enc: EncodedStrings, a: np.ndarray, b: np.ndarray, limit: np.ndarray, block: int = 8192) -> np.ndarray:
+    """Whether the first 64 letters of pattern a[k] are within ``limit`` of some beginning of text b[k], as they are in every pair that is within it."""
+    out = np.empty(len(a), dtype=bool)
+    order = np.argsort(enc.lengths[b], kind="stable")
+    for at in range(0, len(a), block):
+        rows = order[at : at + block]
+        p, t, most = a[rows], b[rows], limit[rows]
+        length = np.minimum(enc.lengths[p], 64)
+        last = np.maximum(length - 1, 0).astype(np.uint64)
+        score, best = length.copy(), length.copy()
+        vp, vn = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), dtype=np.uint64)
+        for j in range(int(min(enc.lengths[t].max(), (length + most).max()))):
+            eq = enc.peq[p, np.minimum(enc.codes[t, j], enc.symbols).astype(np.int64), 0]
+            xv = eq | vn
+            xh = (((eq & vp) + vp) ^ vp) | eq
+            hp = vn | ~(xh | vp)
+            hm = vp & xh
+            score += ((hp >> last) & _ONE).astype(np.int64)
+            score -= ((hm >> last) & _ONE).astype(np.int64)
+            np.minimum(best, score, out=best)
+            hp = (hp << _ONE) | _ONE
+            hm <<= _ONE
+            vp = hm | ~(xv | hp)
+            vn = hp & xv
+        out[rows] = best <= most
+    return out
+
+
 def long_distance(a: str, b: str) -> int:
     """Distance of two long strings: the same recurrence on one integer of
     arbitrary length, which Python advances a word at a time in C."""

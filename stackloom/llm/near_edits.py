@@ -19,10 +19,9 @@ from stackloom.plans.durable import cut
 
 def normalise_sequence(column):
     """Upper-cased letters without gaps; the mates of a pair joined by ``|``."""
-    mates = F.split(column, "nnnn")
-    clean = F.upper(F.array_join(mates, "|"))
-    clean = F.regexp_replace(clean, "-", "")
-    return F.when(F.size(mates) == 2, clean).otherwise(F.regexp_replace(clean, r"\|", ""))
+    joined = F.replace(column, F.lit("nnnn"), F.lit("|"))
+    clean = F.replace(F.upper(joined), F.lit("-"), F.lit(""))
+    return F.when(F.length(column) - F.length(joined) == 3, clean).otherwise(F.replace(clean, F.lit("|"), F.lit("")))
 
 
 def distinct_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +31,7 @@ def distinct_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     clean = (
         records.where(F.col("seq").isNotNull() & F.col("sample").isNotNull() & F.col("rec_id").isNotNull())
         .select("record_kind", "sample", F.col("rec_id").cast("bigint").alias("rec_id"), normalise_sequence(F.col("seq")).alias("letters"))
-        .where(F.length(F.regexp_replace("letters", r"\|", "")) > 0)
+        .where(F.length(F.replace("letters", F.lit("|"), F.lit(""))) > 0)
         .distinct()
     )
     return clean, cut(clean.groupBy("record_kind", "sample", "letters").agg(F.min("rec_id").alias("rep"), F.count(F.lit(1)).alias("n")))

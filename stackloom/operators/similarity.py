@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from stackloom.functions.pigeonhole import match_cell
 from stackloom.plans.durable import cut, python_tasks
 
-#: ratio of neighbouring length bands
-_BAND = 1.08
+#: ratio of neighbouring length bands; above 1 / 0.85, so that at this identity a text meets the patterns of two bands
+_BAND = 1.18
 #: records up to this length may share a cell whatever their lengths, and count as one of this many letters
 _SHORT, _UNIT = 640, 128
 #: tasks above which each takes more cells
@@ -28,16 +28,16 @@ _TASKS = 20_000
 
 
 def _band(letters: Column) -> Column:
-    return F.floor(F.log(F.length(F.regexp_replace(letters, r"\|", "")).cast("double")) / math.log(_BAND)).cast("int")
+    return F.floor(F.log(F.length(F.replace(letters, F.lit("|"), F.lit(""))).cast("double")) / math.log(_BAND)).cast("int")
 
 
-def similar_classes(classes: DataFrame, min_identity: float = 0.85, cell: int = 10_000, both_strands: bool = True) -> DataFrame:
+def similar_classes(classes: DataFrame, min_identity: float = 0.85, cell: int = 30_000, both_strands: bool = True) -> DataFrame:
     """Pairs of different sequences of one sample with an identity of at least
     ``min_identity``: ``(record_kind, sample, rep_a, rep_b, edits, longer)``, from ``classes(record_kind, sample, rep, letters)``,
     which is read more than once and should be a table or cut.
 
-    ``cell`` bounds the patterns of a task (of 128 letters; long ones count as several); a task holds at most about four
-    times as many texts. Without ``both_strands`` sequences are compared as they stand."""
+    ``cell`` bounds the patterns of a task (of 128 letters; long ones count as several); a task holds at most about twice as many texts
+    (more at an identity under 0.85). Without ``both_strands`` sequences are compared as they stand."""
     reach, last = math.ceil(math.log(1 / min_identity) / math.log(_BAND) - 1e-9), math.floor(math.log(_SHORT) / math.log(_BAND))
     rows = classes.select("record_kind", "sample", "rep", "letters", _band(F.col("letters")).alias("band"))
     weight = F.count(F.lit(1)) * F.greatest(F.pow(F.lit(_BAND), F.col("band") + 1) / _UNIT, F.lit(1.0))

@@ -137,6 +137,63 @@ def test_low_complexity_shared_by_all():
     assert {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())} == plain_pairs([(k, "s", r) for k, r in enumerate(recs)])
 
 
+def test_few_hits_among_unrelated_records(monkeypatch):
+    """What is tested letter by letter is a small part of all pairs, or large samples take too long."""
+    from stackloom.functions import pigeonhole
+
+    tested = []
+
+    def counted(f):
+        def run(*args):
+            tested.append(len(args[3] if f.__name__ == "_partition_holds" else args[0]))  # hits
+            return f(*args)
+
+        return run
+
+    for name in ("_partition_holds", "_window_holds"):
+        if hasattr(pigeonhole, name):
+            monkeypatch.setattr(pigeonhole, name, counted(getattr(pigeonhole, name)))
+    rng, n = random.Random(4), 4000
+    recs = ["".join(rng.choices("ACGT", k=rng.randrange(60, 114))) for _ in range(n)]
+    one = np.ones(n, bool)
+    match_cell(recs, one, one, np.arange(n), 0.85)
+    assert sum(tested) < 0.002 * n * n
+
+
+def test_windows_lose_nothing(monkeypatch):
+    """Families at the bound, several samples and both strands, in one block and in many, against all pairs."""
+    from stackloom.functions import pigeonhole
+    from stackloom.functions.editdist import EncodedStrings, pair_distances
+
+    rng = random.Random(12)
+    recs, scope = [], []
+    for _ in range(90):
+        base = rng.choices("ACGT", k=rng.randrange(54, 120))
+        for _ in range(5):
+            s = base.copy()
+            for _ in range(rng.randrange(len(base) // 6 + 1)):
+                k = rng.randrange(len(s))
+                s[k : k + 1] = rng.choice([rng.choices("ACGTN"), [], [*rng.choices("ACGT"), s[k]]])
+            t = "".join(s)
+            recs.append(t.translate(COMPLEMENT)[::-1] if rng.random() < 0.5 else t)
+            scope.append(rng.randrange(2))
+    n, scope = len(recs), np.array(scope)
+    x, y = np.triu_indices(n, 1)
+    x, y = x[scope[x] == scope[y]], y[scope[x] == scope[y]]
+    enc = EncodedStrings(recs + [r.translate(COMPLEMENT)[::-1] for r in recs])
+    length = np.array([len(r) for r in recs])
+    bound = np.floor(0.15 * np.maximum(length[x], length[y]) + 1e-9)
+    near = np.minimum(pair_distances(enc, x, y), pair_distances(enc, x, y + n))
+    want = {(i, j, d) for i, j, d, most in zip(x.tolist(), y.tolist(), near.tolist(), bound) if d <= most}
+    one = np.ones(n, bool)
+    for sizes in ((), (("_SORTED", 3000), ("_LOOKED_UP", 500), ("_CHUNK", 64), ("_KEPT", 100), ("_CROWDED", 8)), (("_CROWDED", 0),)):
+        for name, value in sizes:
+            monkeypatch.setattr(pigeonhole, name, value)
+        a, b, d = match_cell(recs, one, one, np.arange(n), 0.85, scope)
+        got = [(min(i, j), max(i, j), e) for i, j, e in zip(a.tolist(), b.tolist(), d.tolist())]
+        assert len(got) == len(want) > 100 and set(got) == want
+
+
 # ------------------------------------------------------------ problem 2
 
 
