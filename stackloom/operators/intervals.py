@@ -84,7 +84,9 @@ def consensus_reduce(cells: DataFrame, pops: DataFrame, seed: int = 42) -> DataF
     n = cells.where(~F.col("base").isin("N", "-")).join(pops, "sample").groupBy("locus", "pos", "pop", "base").agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("locus", "pos", "pop")
     upto, total = F.sum("n").over(own.orderBy("base")), F.sum("n").over(own)
-    draw = portable_draw((F.pmod("locus", F.lit(2147483647)) * 7919 + F.col("pos")) * 1048583 + text_number(F.col("pop")), seed) / 2147483647.0
+    # the draw depends on its key modulo 2^31 - 1 only, so each product is reduced before the next and none overflows
+    site = F.pmod(F.pmod("locus", F.lit(2147483647)) * 7919 + F.col("pos"), F.lit(2147483647))
+    draw = portable_draw(site * 1048583 + text_number(F.col("pop")), seed) / 2147483647.0
     placed = n.withColumn("upto", upto).withColumn("total", total).withColumn("draw", draw).where("draw * total < upto")
     return placed.groupBy("locus", "pos", "pop").agg(F.min_by("base", "upto").alias("base"))
 

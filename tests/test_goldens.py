@@ -1,5 +1,6 @@
 """Hand-computed results and properties of the reference operators."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -306,3 +307,18 @@ def test_all_reads_of_a_deep_cluster_are_aligned(spark):
     want = [stacks.centre_star(single), ["nnnn".join(x) for x in zip(*halves)], stacks.centre_star(mixed)]
     assert out == {(c, k): s for c, some in enumerate(want) for k, s in enumerate(some)}
     assert stacks.align_stacks(df, most=200).count() == 403
+
+
+def test_draws_of_large_locus_numbers(spark):
+    at = [(locus, pos) for locus in (5, 1_200_000_000, 2_147_483_646, 2_147_483_647, 8_000_014_968, 2**62) for pos in (0, 3, 80)]
+    cells = spark.createDataFrame([(*x, f"s{k}", b) for x in at for k, b in enumerate("AACGTN")], "locus bigint, pos int, sample string, base string")
+    pops = spark.createDataFrame([(f"s{k}", "pop_b") for k in range(6)], "sample string, pop string")
+    out = {(r["locus"], r["pos"]): r["base"] for r in intervals.consensus_reduce(cells, pops).collect()}
+    prime, number = 2**31 - 1, int(hashlib.md5(b"pop_b").hexdigest()[:7], 16)
+
+    def drawn(locus, pos):
+        key = (locus % prime * 7919 + pos) * 1048583 + number
+        share = ((key % prime * 48271 + 42 * 40503 + 11) % prime * 69621 + 42) % prime / prime
+        return next(b for b, upto in zip("ACGT", (2, 3, 4, 5)) if share * 5 < upto)
+
+    assert out == {x: drawn(*x) for x in at}
