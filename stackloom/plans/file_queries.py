@@ -314,7 +314,7 @@ def m26_extract_loci(spark, d):
 def st_demultiplex(spark, d):
     from stackloom.streaming import reads as T
 
-    stream = T.event_stream(spark, d, table(spark, d, "raw_reads").schema, "raw_reads.parquet")
+    stream = T.event_stream(spark, d, table(spark, d, "raw_reads").schema, "raw_reads.parquet", None)
     return T.drain(T.demultiplexed_stream(stream, RQ._barcodes(spark, d)).select("read_id", "match"), "demultiplexed", "append")
 
 
@@ -322,5 +322,5 @@ def st_demultiplex(spark, d):
 def st_dereplicate(spark, d):
     from stackloom.streaming import reads as T
 
-    stream = T.event_stream(spark, d, table(spark, d, "edits").schema, "edits.parquet")
+    stream = T.event_stream(spark, d, table(spark, d, "edits").schema, "edits.parquet", None)
     return T.drain(T.dereplicated_stream(stream), "dereplicated")

@@ -203,13 +203,13 @@ def w10_ranks(spark, d):
 
 @query("select time_bucket(interval '10 minutes', ts) as start, event_type as \"key\", count(*) n from events group by 1, 2")
 def st_windowed_counts(spark, d):
-    stream = T.event_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+    stream = T.event_stream(spark, d, table(spark, d, "events").schema, "events.parquet", None)
     return T.drain(T.windowed_counts(stream, "event_type"), f"windowed_{abs(hash(d))}").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""with o as (select user_id k, ts, lag(ts) over (partition by user_id order by ts) p from events), s as (select k, ts, sum((p is null or ts >= p + interval '30 minutes')::int) over (partition by k order by ts rows unbounded preceding) i from o)
   select k as "key", min(ts) as start, max(ts) + interval '30 minutes' as "end", count(*) n from s group by k, i""")
 def st_sessions(spark, d):
-    stream = T.event_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+    stream = T.event_stream(spark, d, table(spark, d, "events").schema, "events.parquet", None)
     out = T.drain(T.sessions(stream, "user_id"), f"sessions_{abs(hash(d))}")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.operators.reads import barcode_neighbours
-from stackloom.plans.durable import ensure_checkpoint_dir
+from stackloom.plans.durable import shared_folder
 
 
-def event_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
-    """A stream over the Parquet files of a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_trigger: int | None = 1) -> DataFrame:
+    """A stream over the Parquet files of a folder, and over the files of its subfolders of such a name (a table of several files). With None all files are one batch."""
+    stream = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    return stream.parquet(f"{folder}/{{{glob}}}")  # in braces, since Spark takes a path without a pattern for a folder
 
 
 def _timed(events: DataFrame, time: str) -> DataFrame:
@@ -43,12 +44,27 @@ def dereplicated_stream(reads: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All results of a stream over data that is there, as a table in memory. Progress is kept in the session's shared checkpoint folder unless another is given."""
-    ensure_checkpoint_dir(stream.sparkSession)
-    folder = checkpoint or f"{stream.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", folder).start()
+    """All results of a stream over data that is there, as a table that executors write, batch by batch, and the driver never holds. Progress and
+    rows are kept in the session's shared checkpoint folder unless another is given; rows are then in ``<folder>-rows``.
+
+    A batch that is run again overwrites its own rows. In complete mode each batch has all results, so the batches before it are removed."""
+    spark = stream.sparkSession
+    folder = checkpoint or shared_folder(spark, name)
+    rows = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}-rows")
+    files = rows.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(rows)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        own = f"batch-{number}"
+        batch.write.mode("overwrite").parquet(f"{folder}-rows/{own}")
+        if mode == "complete":
+            for x in files.listStatus(rows):
+                if x.getPath().getName() != own:
+                    files.delete(x.getPath(), True)
+
+    query = stream.writeStream.foreachBatch(keep).queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", folder).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}-rows")

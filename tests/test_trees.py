@@ -79,3 +79,17 @@ def test_reads_with_mismatches_in_every_stretch_are_placed(spark):
     for cell in ({}, {"stretch": 120}):
         found = cluster_join.map_reads(reads, reference, **cell).collect()
         assert len(found) == len(want) and {r["read_id"]: (r["chrom"], r["pos"], r["strand"], r["mismatches"]) for r in found} == want
+
+
+def test_streams_are_drained_into_files(spark, tmp_path):
+    rows = [(str(k % 3), "AC" * (k % 2)) for k in range(12)]
+    spark.createDataFrame(rows, "sample string, seq string").repartition(3).write.parquet(str(tmp_path / "in" / "edits.parquet"))  # a table of several files
+    spark.createDataFrame(rows, "sample string, seq string").write.parquet(str(tmp_path / "in" / "others.parquet"))
+    read = lambda n: streams.event_stream(spark, str(tmp_path / "in"), "sample string, seq string", "edits.parquet", n)
+    for n in (1, None):
+        out = streams.drain(streams.dereplicated_stream(read(n)), "derep_files")
+        assert sorted(map(tuple, out.collect())) == [(s, q, 2) for s in "012" for q in ("", "AC")]
+        assert out.inputFiles() and len({f.rpartition("/")[0] for f in out.inputFiles()}) == 1  # not in the driver, and the last batch only
+        every = streams.drain(read(n), "all_files", "append")
+        assert every.inputFiles() and sorted(map(tuple, every.collect())) == sorted(rows)
+    assert streams.drain(streams.event_stream(spark, str(tmp_path), "sample string", "none.parquet"), "no_files", "append").count() == 0
