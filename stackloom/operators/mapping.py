@@ -33,14 +33,19 @@ def region_stacks(alignments: DataFrame, regions: DataFrame, bin_size: int = 102
     return placed.select("chrom", "p0", "p1", "qname", F.concat(left, "row", right).alias("row"))
 
 
+def site_places(sites: DataFrame) -> DataFrame:
+    """``snp_id, rec_id, pos`` of ``sites(snp_id, rec_id, pos, offset, gaps)``: where each site lies in its consensus read, ``pos + offset - gaps``."""
+    return sites.select("snp_id", "rec_id", (F.col("pos") + F.col("offset") - F.col("gaps")).alias("pos"))
+
+
 def site_depths(sites: DataFrame, columns: DataFrame) -> DataFrame:
     """``snp_id, rec_id, c, a, t, g, dp``: base depths of each site in each consensus read.
 
     ``sites(snp_id, rec_id, pos, offset, gaps)`` says where a site lies in the
     locus, how much was cut before it and how many gaps precede it; its place in the read is ``pos + offset - gaps``.
     ``columns(rec_id, pos, c, a, t, g)``; a place outside the read counts nothing."""
-    at = sites.select("snp_id", "rec_id", (F.col("pos") + F.col("offset") - F.col("gaps")).alias("pos"))
-    joined = at.join(columns, ["rec_id", "pos"], "left").fillna(0, ["c", "a", "t", "g"])
+    # merged: columns are many times the size that a plan takes them for, too large to broadcast
+    joined = site_places(sites).join(columns.hint("merge"), ["rec_id", "pos"], "left").fillna(0, ["c", "a", "t", "g"])
     return joined.select("snp_id", "rec_id", "c", "a", "t", "g", F.expr("c + a + t + g").alias("dp"))
 
 

@@ -60,11 +60,15 @@ def indel_filter(stacks: DataFrame, most: int = 8) -> DataFrame:
     return stacks.groupBy("cluster_id").agg(F.max(gaps).alias("gaps")).withColumn("keep", F.col("gaps") <= most)
 
 
-def columns_of(stacks: DataFrame) -> DataFrame:
-    """``cluster_id, pos, c, a, t, g, depth, gaps, n_rows``: counts of each column weighted by abundance.
+def columns_of(stacks: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """``cluster_id, pos, c, a, t, g, depth, gaps, n_rows``: counts of each column weighted by abundance; with ``places(cluster_id, pos)`` of these columns only.
 
     Letters are exploded and combined in the same stage, before the shuffle."""
-    letters = stacks.select("cluster_id", "size", F.posexplode(F.split(F.upper("aligned_seq"), "")).alias("pos", "base"))
+    if places is None:
+        letters = stacks.select("cluster_id", "size", F.posexplode(F.split(F.upper("aligned_seq"), "")).alias("pos", "base"))
+    else:  # merged, since a plan takes compressed sequences for small enough to broadcast
+        here = stacks.hint("merge").join(places.select("cluster_id", "pos").distinct(), "cluster_id").where(F.col("pos").between(0, F.length("aligned_seq") - 1)).withColumn("pos", F.col("pos").cast("int"))
+        letters = here.select("cluster_id", "size", "pos", F.substring(F.upper("aligned_seq"), F.col("pos") + 1, F.lit(1)).alias("base"))
     n = lambda b: F.sum(F.when(F.col("base") == b, F.col("size")).otherwise(0)).alias(b.lower())
     grouped = letters.groupBy("cluster_id", "pos").agg(*[n(b) for b in "CATG"], F.sum("size").alias("n_all"), F.sum(F.when(F.col("base") == "-", F.col("size")).otherwise(0)).alias("gaps"))
     return grouped.withColumn("depth", F.expr("c + a + t + g"))

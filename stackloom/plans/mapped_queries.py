@@ -56,7 +56,7 @@ def m34_region_stacks(spark, d):
 def j14_site_depths(spark, d):
     stacks = K.stack_rows(table(spark, d, "clusters"))
     sites = S.site_table(table(spark, d, "snp_sites")).join(stacks.select(F.col("cluster_id").alias("snp_id")).distinct(), "snp_id").select("snp_id", F.col("snp_id").alias("rec_id"), F.col("locpos").alias("pos"), (F.col("snp_id") % 7).alias("offset"), (F.col("snp_id") % 3).alias("gaps"))
-    columns = K.columns_of(stacks).select(F.col("cluster_id").alias("rec_id"), "pos", "c", "a", "t", "g")
+    columns = K.columns_of(stacks, M.site_places(sites).withColumnRenamed("rec_id", "cluster_id")).select(F.col("cluster_id").alias("rec_id"), "pos", "c", "a", "t", "g")
     return M.site_depths(sites, columns)
 
 

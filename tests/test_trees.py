@@ -1,8 +1,10 @@
 """Trees, mapping and streaming on small inputs."""
 
 import numpy as np
+from oracle import SF
 
-from stackloom.operators import cluster_join, mapping, trees
+from stackloom.operators import cluster_join, mapping, stacks, trees
+from stackloom.plans import mapped_queries
 from stackloom.streaming import reads as streams
 
 
@@ -93,3 +95,15 @@ def test_streams_are_drained_into_files(spark, tmp_path):
         every = streams.drain(read(n), "all_files", "append")
         assert every.inputFiles() and sorted(map(tuple, every.collect())) == sorted(rows)
     assert streams.drain(streams.event_stream(spark, str(tmp_path), "sample string", "none.parquet"), "no_files", "append").count() == 0
+
+
+def test_site_depths_take_only_the_columns_of_sites(spark):
+    rows = [(1, 0, 5, "ACgT"), (1, 1, 2, "A-CT"), (1, 2, 1, None), (2, 0, 3, "NA"), (3, 0, 4, "")]
+    df = spark.createDataFrame(rows, "cluster_id bigint, hit_rank int, size bigint, aligned_seq string")
+    sites = spark.createDataFrame([(10 + k, c, p, o, g) for k, (c, p, o, g) in enumerate([(1, 0, 0, 0), (1, 1, 2, 1), (1, 4, 1, 0), (1, 0, 0, 2), (2, 0, 1, 0), (3, 0, 0, 0), (9, 0, 0, 0)])], "snp_id bigint, rec_id bigint, pos int, offset bigint, gaps bigint")
+    want = [(10, 1, 0, 7, 0, 0, 7), (11, 1, 2, 0, 0, 5, 7), (12, 1, 0, 0, 0, 0, 0), (13, 1, 0, 0, 0, 0, 0), (14, 2, 0, 3, 0, 0, 3), (15, 3, 0, 0, 0, 0, 0), (16, 9, 0, 0, 0, 0, 0)]
+    for places in (None, mapping.site_places(sites).withColumnRenamed("rec_id", "cluster_id")):
+        columns = stacks.columns_of(df, places).select(stacks.F.col("cluster_id").alias("rec_id"), "pos", "c", "a", "t", "g")
+        assert sorted(map(tuple, mapping.site_depths(sites, columns).collect())) == want
+    plan = mapped_queries.j14_site_depths(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("strategy=merge") == 2  # neither letters nor columns can be broadcast
