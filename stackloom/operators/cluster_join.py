@@ -159,12 +159,13 @@ def map_reads(reads: DataFrame, reference: DataFrame, k: int = 20, max_mismatch:
     strands = reads.select("read_id", F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("seq")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq")))).alias("s")).select("read_id", "s.*")
     seeds = strands.select("read_id", "strand", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)), F.lit(k))).alias("at")).withColumn("kmer", F.substring("seq", F.col("at") + 1, F.lit(k)))
     index = reference.select("chrom", F.col("seq").alias("ref"), F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - k, F.lit(0)))).alias("p")).select("chrom", "p", F.substring("ref", F.col("p") + 1, F.lit(k)).alias("kmer"))
-    starts = seeds.join(index, "kmer").select("read_id", "strand", "seq", "chrom", (F.col("p") - F.col("at")).alias("pos")).where("pos >= 0").distinct()
-    placed = starts.join(reference.select("chrom", F.col("seq").alias("ref")), "chrom").select("read_id", "strand", "seq", "chrom", "pos", F.substring("ref", F.col("pos") + 1, F.length("seq")).alias("under"))
+    # joins are merged, since a plan takes pieces and reads for little more than their compressed file, small enough to broadcast
+    starts = seeds.join(index.hint("merge"), "kmer").select("read_id", "strand", "seq", "chrom", (F.col("p") - F.col("at")).alias("pos")).where("pos >= 0").distinct()
+    placed = starts.join(reference.select("chrom", F.col("seq").alias("ref")).hint("merge"), "chrom").select("read_id", "strand", "seq", "chrom", "pos", F.substring("ref", F.col("pos") + 1, F.length("seq")).alias("under"))
     wrong = F.aggregate(F.sequence(F.lit(1), F.length("seq")), F.lit(0), lambda s, i: s + F.when(F.substring(F.col("seq"), i, F.lit(1)) == F.substring(F.col("under"), i, F.lit(1)), 0).otherwise(1))
     first = _best(placed.withColumn("mismatches", wrong).where(F.col("mismatches") <= F.length("seq") * max_mismatch))
     pieces = reads.groupBy("read_id").agg(F.min(F.floor(F.length("seq") / k)).alias("pieces"))
-    decided = cut(first.join(pieces, "read_id").where("mismatches < pieces").drop("pieces"))
+    decided = cut(first.join(pieces.hint("merge"), "read_id").where("mismatches < pieces").drop("pieces"))
     size = F.greatest(F.floor(F.length("seq") / (F.floor(F.length("seq") * max_mismatch) + 1)).cast("int"), F.lit(1))
-    rest = cut(strands.join(decided.select("read_id"), "read_id", "left_anti").withColumn("size", size))
+    rest = cut(strands.join(decided.select("read_id").hint("merge"), "read_id", "left_anti").withColumn("size", size))
     return decided.unionByName(_best(_placements(rest, reference, max_mismatch, stretch)))

@@ -107,3 +107,13 @@ def test_site_depths_take_only_the_columns_of_sites(spark):
         assert sorted(map(tuple, mapping.site_depths(sites, columns).collect())) == want
     plan = mapped_queries.j14_site_depths(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan and plan.count("strategy=merge") == 2  # neither letters nor columns can be broadcast
+
+
+def test_mapping_joins_are_merged(spark, monkeypatch):
+    plans, real = [], cluster_join.cut
+    monkeypatch.setattr(cluster_join, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    ref = "".join("ACGT"[k * k % 7 % 4] for k in range(300))
+    reads = spark.createDataFrame([(1, ref[20:80]), (2, ref[100:130] + "T" * 30)], "read_id bigint, seq string")
+    assert {r["read_id"]: r["pos"] for r in cluster_join.map_reads(reads, spark.createDataFrame([("c", ref)], "chrom string, seq string")).collect()}[1] >= 0
+    # pieces, reads and reference would pass for small enough to broadcast
+    assert [p.count("strategy=merge") for p in plans] == [p.count("Join ") for p in plans] == [3, 1]
